@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from dossier.llm.packing import op6_packing
 from dossier.llm.tokens import op1_token_counts
 
-QUERIES = {"op1_token_counts": op1_token_counts}
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op6_packing": op6_packing,
+}
 SQL: dict[str, str] = {}
