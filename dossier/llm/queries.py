@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dossier.llm.lines import OP3_SQL, op3_line_dedup
 from dossier.llm.packing import op6_packing
 from dossier.llm.tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op6_packing": op6_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
