@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dossier.llm.lines import OP3_SQL, op3_line_dedup
 from dossier.llm.packing import op6_packing
+from dossier.llm.simhash import op2_simhash
 from dossier.llm.tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op6_packing": op6_packing,
 }
