@@ -5,12 +5,17 @@ from __future__ import annotations
 from dossier.llm.lines import OP3_SQL, op3_line_dedup
 from dossier.llm.packing import op6_packing
 from dossier.llm.simhash import op2_simhash
+from dossier.llm.substrings import OP4_SQL, op4_substring_dedup
 from dossier.llm.tokens import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
 }
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
+}
