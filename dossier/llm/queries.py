@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dossier.llm.lines import OP3_SQL, op3_line_dedup
 from dossier.llm.packing import op6_packing
+from dossier.llm.quality import OP9_SQL, op9_quality_rules
 from dossier.llm.simhash import op2_simhash
 from dossier.llm.substrings import OP4_SQL, op4_substring_dedup
 from dossier.llm.tokens import op1_token_counts
@@ -14,8 +15,10 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
+    "op9_quality_rules": op9_quality_rules,
 }
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
