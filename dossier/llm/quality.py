@@ -30,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 100
 FENCE = 3
 #: Measure, slack above, slack below (none: no lower fence). Shares are in thousandths, word length in hundredths.
-MEASURES = {"symbol_share": (50, None), "dup_line_share": (200, None), "repeat_share": (200, None), "word_length": (150, 150)}
+MEASURES = {"symbol_share": (50, None), "dup_line_share": (500, None), "repeat_share": (200, None), "word_length": (150, 150)}
 #: More groups than this are joined by shuffle instead of broadcast.
 MOST_BROADCAST = 10_000
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dossier.llm.lines import OP3_SQL, op3_line_dedup
+from dossier.llm.mixing import OP7_SQL, op7_mixing
 from dossier.llm.packing import op6_packing
 from dossier.llm.quality import OP9_SQL, op9_quality_rules
 from dossier.llm.simhash import op2_simhash
@@ -15,10 +16,12 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_packing": op6_packing,
+    "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op7_mixing": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
 }
