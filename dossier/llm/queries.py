@@ -9,6 +9,7 @@ from dossier.llm.quality import OP9_SQL, op9_quality_rules
 from dossier.llm.simhash import op2_simhash
 from dossier.llm.substrings import OP4_SQL, op4_substring_dedup
 from dossier.llm.tokens import op1_token_counts
+from dossier.llm.topk import OP10_SQL, op10_top_k
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -18,10 +19,12 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_top_k": op10_top_k,
 }
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_mixing": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op10_top_k": OP10_SQL,
 }
