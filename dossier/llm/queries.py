@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dossier.llm.chat import OP5_SQL, op5_chat_format
 from dossier.llm.lines import OP3_SQL, op3_line_dedup
 from dossier.llm.mixing import OP7_SQL, op7_mixing
 from dossier.llm.packing import op6_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op9_quality_rules": op9_quality_rules,
@@ -24,6 +26,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
     "op7_mixing": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
     "op10_top_k": OP10_SQL,
