@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dossier.llm.chat import OP5_SQL, op5_chat_format
+from dossier.llm.extraction import op8_html_extraction
 from dossier.llm.lines import OP3_SQL, op3_line_dedup
 from dossier.llm.mixing import OP7_SQL, op7_mixing
 from dossier.llm.packing import op6_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,
     "op10_top_k": op10_top_k,
 }
