@@ -58,7 +58,7 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], share: float,
         "total": F.sum("source_size").over(every) * F.lit(float(share)), "capped": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
         "open": F.sum("w").over(by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
     }).withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(every)
+    level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(every)
     target = F.least("cap", F.coalesce(level * F.col("w"), F.col("cap")))
     out = filled.withColumn("target", target).select("source", "source_size", "target")
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(0)
@@ -136,7 +136,7 @@ weighed as (select *, [3.0, 1.0, 2.0][(row_number() over (order by source nulls
 filled as (
   select *, ((sum(source_size) over ())::double * 1.5::double - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as level from weighed
 ), targets as (
-  select source, source_size, least(cap, coalesce((select min(level) from filled where level * w <= cap) * w, cap)) as target from filled
+  select source, source_size, least(cap, coalesce((select max(level) from filled where level * w <= cap) * w, cap)) as target from filled
 ), certain as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as copies from targets),
 lengths as (select source, q, sum(size)::double as words from bits group by source, q),
 scaled as (
