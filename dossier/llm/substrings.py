@@ -22,25 +22,23 @@ words by place; null doc_id is the smallest. Other columns stay as they are.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, bounded_batches, partitions, slices
+from dossier.llm.common import bounded_batches, partitions, slices
 
 #: Bytes of text that a task settles by itself before it sends on.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bytes of text per bucket, about: what a worker sorts at once is some 40 times that.
-BUCKET = 4 << 20
+BUCKET = 2 << 20
 #: Buckets that one task works off, one after another.
-BUCKETS_PER_TASK = 16
+BUCKETS_PER_TASK = 32
 NO_ID = -(1 << 63)
-_words = re.compile(WORD).findall
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -131,7 +129,7 @@ def earlier(words: Words, at: np.ndarray, doc: np.ndarray, width: int) -> np.nda
     """For the windows at `at` of documents `doc`: whether an equal window has a
     smaller document."""
     hashes = _rolled(words.hash, width)[at] if len(at) else np.zeros(0, np.uint64)
-    order = np.lexsort((at, doc, hashes))
+    order = np.lexsort((doc, hashes))  # stable, so places of a document stay in order
     h, d, a = hashes[order], doc[order], at[order]
     head = np.ones(len(a), bool)
     head[1:] = h[1:] != h[:-1]
@@ -165,9 +163,8 @@ def spans(where: np.ndarray, width: int, same: np.ndarray) -> tuple[np.ndarray,
 def _minimisers(words: Words, at: np.ndarray, width: int, seed: int) -> np.ndarray:
     """The smallest seed hash of each window."""
     small = _rolled(words.hash ^ _P, seed)
-    n = width - seed + 1
     out = small[at]
-    for k in range(1, n):
+    for k in range(1, width - seed + 1):
         out = np.minimum(out, small[at + k])
     return out
 
@@ -205,15 +202,16 @@ def super_kmers(docs: DataFrame, buckets: int, width: int, seed: int) -> DataFra
             bucket = (_mix(least[head]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         lo, hi = words.start[at[head]], words.end[at[tail] + width - 1]
-        meta = np.stack((ids[words.text[at[head]]], place[at[head]], hi - lo), 1).astype(np.int64)
+        owner, where, size = ids[words.text[at[head]]], place[at[head]].astype(np.int32), (hi - lo).astype(np.int32)
         ends = np.flatnonzero(np.diff(bucket[order], append=-1))
         begin = np.concatenate(([0], ends[:-1] + 1))
-        raw, keys, blobs = words.data.tobytes(), [], []
+        raw, keys, blobs, pack = words.data.tobytes(), [], [], zstandard.ZstdCompressor(level=3).compress
         for i, j in zip(begin, ends, strict=True):
             own = order[i : j + 1]
             text = b"".join([raw[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist(), strict=True)])
             keys.append(bucket[own[0]])
-            blobs.append(len(own).to_bytes(4, "little") + zlib.compress(meta[own].T.tobytes() + text, 1))
+            steps = np.diff(owner[own], prepend=0)  # small, as documents come in order
+            blobs.append(len(own).to_bytes(4, "little") + pack(steps.tobytes() + where[own].tobytes() + size[own].tobytes() + text))
         yield _rows([0] * len(keys), np.array(keys), blobs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +242,12 @@ def bucket_marks(rows: DataFrame, buckets: int, width: int, tasks: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(ids[begin[part]]), pa.array([both[i:j].tobytes() for i, j in zip(begin[part], ends[part], strict=True)], pa.binary())], ["doc_id", "spans"])
 
     def count(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        meta, texts = [], []
+        meta, texts, unpack = [], [], zstandard.ZstdDecompressor().decompress
         for blob in blobs:
-            n, raw = int.from_bytes(blob[:4], "little"), zlib.decompress(memoryview(blob)[4:])
-            meta.append(np.frombuffer(raw, np.int64, 3 * n).reshape(3, n))
-            texts.append(raw[24 * n :])
-        ids, place, size = np.concatenate(meta, 1)
+            n, raw = int.from_bytes(blob[:4], "little"), unpack(memoryview(blob)[4:])
+            meta.append((np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n)))
+            texts.append(raw[16 * n :])
+        ids, place, size = (np.concatenate(x) for x in zip(*meta, strict=True))
         with np.errstate(over="ignore"):
             words = Words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(size))))
             inside = np.arange(len(words.start)) - words.first[words.text]
@@ -294,7 +292,7 @@ def cut_repeats(docs: DataFrame, width: int = 13, seed: int = 4) -> DataFrame:
         for batch in slices(batches, "text"):
             kept, n_words, n_removed = [], [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                words = _words(text or "")
+                words = (text or "").encode().split()
                 n_words.append(len(words))
                 if marks:
                     change = np.zeros(len(words) + 1, np.int64)
@@ -303,7 +301,7 @@ def cut_repeats(docs: DataFrame, width: int = 13, seed: int = 4) -> DataFrame:
                     np.add.at(change, np.minimum(both.sum(1), len(words)), -1)
                     gone = np.cumsum(change[:-1]) > 0
                     words = [words[k] for k in np.flatnonzero(~gone).tolist()]
-                kept.append(" ".join(words))
+                kept.append(b" ".join(words).decode())
                 n_removed.append(n_words[-1] - len(words))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(kept, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*(f.name for f in fields), "kept", "n_words", "n_removed"])
 
