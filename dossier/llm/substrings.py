@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mer partitioning.
 
-A window is `width` consecutive words; its minimiser is the smallest hash of the
-`seed` -word runs in it. Consecutive windows that share a minimiser form a
+A window is `width` consecutive words; its minimiser is the first of the `seed`-word
+runs in it, by an order that begins with rare ones. Consecutive windows that share a minimiser form a
 super-k-mer: its words travel once, as one packed string, to the bucket of the
 minimiser, so equal windows always meet. There, windows are sorted by a hash of
 their word hashes and compared word by word, so counts are exact; each
@@ -38,6 +38,8 @@ CHUNK = 4 << 20
 BUCKET = 2 << 20
 #: Buckets that one task works off, one after another.
 BUCKETS_PER_TASK = 32
+#: Bytes a word of seeds that come last.
+SHORT = 4
 NO_ID = -(1 << 63)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,8 +163,12 @@ def spans(where: np.ndarray, width: int, same: np.ndarray) -> tuple[np.ndarray,
 
 
 def _minimisers(words: Words, at: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """The smallest seed hash of each window."""
-    small = _rolled(words.hash ^ _P, seed)
+    """The first seed of each window in this order: those of SHORT bytes a word or
+    fewer come last, then by hash. Frequent words are short, so a frequent phrase
+    leads a window only if there is nothing else in it."""
+    length = np.concatenate(([0], np.cumsum(words.end - words.start)))
+    short = (length[seed:] - length[:-seed] <= SHORT * seed).astype(np.uint64)
+    small = short << np.uint64(63) | _rolled(words.hash ^ _P, seed) >> np.uint64(1)
     out = small[at]
     for k in range(1, width - seed + 1):
         out = np.minimum(out, small[at + k])
@@ -276,7 +282,7 @@ def bucket_marks(rows: DataFrame, buckets: int, width: int, tasks: int) -> DataF
     return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc_id long, spans binary")
 
 
-def cut_repeats(docs: DataFrame, width: int = 13, seed: int = 4) -> DataFrame:
+def cut_repeats(docs: DataFrame, width: int = 13, seed: int = 2) -> DataFrame:
     """docs with kept (its remaining words, one space between), n_words, n_removed."""
     spark = docs.sparkSession
     bounded_batches(spark)
