@@ -22,7 +22,6 @@ its copies. Other columns stay as they are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import ASCII_LOWER, SPACE, bounded_batches, slices
+from dossier.llm.common import SPACE, bounded_batches, slices
 from dossier.llm.perfecthash import LineIndex
 from dossier.session import written
 
@@ -44,17 +43,11 @@ HELD_LINES = 500_000
 NO_ID = -(1 << 63)
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE).translate(ASCII_LOWER) if not line.isascii() else line.strip(SPACE).lower()
-
-
 def line_hashes(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
     """(line number, 16 bytes) of each line whose key is long enough."""
-    out = []
-    for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= min_chars and len(key := line_key(line)) >= min_chars:
-            out.append((k, xxhash.xxh3_128_digest(key.encode())))
-    return out
+    digest = xxhash.xxh3_128_digest
+    # lower() of bytes changes A-Z only
+    return [(k, digest(key.encode().lower())) for k, line in enumerate((text or "").split("\n")) if len(line) >= min_chars and len(key := line.strip(SPACE)) >= min_chars]
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
