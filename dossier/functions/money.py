@@ -54,6 +54,10 @@ def business_sample(section: Column) -> Column:
 def with_financials(df: DataFrame, text: str = "text", sections: str | None = None) -> DataFrame:
     """df with FINANCIALS; null where a filing doesn't say. sections: a map column of name to text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    (rev_text, rev), (inc_text, inc), (_, cash) = (line_item(t, p) for p in (fixed.REVENUE, fixed.NET_INCOME, fixed.CASH))
+    # Each whole text is searched once per item; amounts are parsed from what was found.
+    found = {f"__{k}": F.regexp_extract(t, FLAGS + p, 0) for k, p in enumerate((fixed.REVENUE, fixed.NET_INCOME, fixed.CASH))}
+    df = df.withColumns(found | {"__eps": eps(t), "__event": executive_event(t)})
+    item = lambda k: F.nullif(F.col(f"__{k}"), F.lit(""))
     sample = business_sample(F.try_element_at(F.col(sections), F.lit("ITEM_1_BUSINESS"))) if sections else F.lit(None).cast("string")
-    return df.withColumns(dict(zip(FINANCIALS, (rev_text, rev, inc_text, inc, eps(t), cash, executive_event(t), sample), strict=True)))
+    values = (strip(item(0)), dollars(item(0), False), strip(item(1)), dollars(item(1), False), F.col("__eps"), dollars(item(2), False), F.col("__event"), sample)
+    return df.withColumns(dict(zip(FINANCIALS, values, strict=True))).drop(*found, "__eps", "__event")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def py_round(x: Column, digits: int) -> Column:
@@ -13,14 +11,17 @@ def py_round(x: Column, digits: int) -> Column:
     return F.regexp_replace(F.format_number(x, digits), ",", "").cast("double") + F.lit(0.0)
 
 
-@F.arrow_udf(T.StringType())
-def _repr(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else str(v) for v in x.to_pylist()], pa.string())
-
-
 def py_str(x: Column) -> Column:
-    """str() of a double; JVM-side for the usual magnitudes."""
-    return F.when(x.isNull(), F.lit("None")).otherwise(_repr(x))
+    """str() of a double; null reads None."""
+    text = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    mantissa, power = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""), F.substring_index(text, "E", -1)
+    science = F.concat(mantissa, F.when(power.startswith("-"), "e-").otherwise("e+"), F.lpad(F.replace(power, F.lit("-"), F.lit("")), 2, "0"))
+    # Longer exponents than two digits aren't padded, nor cut.
+    science = F.when(F.length(F.replace(power, F.lit("-"), F.lit(""))) > 2, F.concat(mantissa, F.when(power.startswith("-"), "e").otherwise("e+"), power)).otherwise(science)
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    usual = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e16)
+    return F.when(x.isNull(), "None").otherwise(F.coalesce(odd, F.when(~text.contains("E"), text).when(usual, plain).otherwise(science)))
 
 
 def strip(x: Column) -> Column:

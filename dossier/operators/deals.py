@@ -21,7 +21,7 @@ MATCH = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("pat
 DEAL = ["seller_target_name", "transaction_type", "purchase_price_usd", "consideration_type", "context_summary"]
 _deals = [re.compile(p, re.I) for p, _ in fixed.DEALS]
 _tail = re.compile(fixed.TRAILING_WORD, re.I)
-_names = pa.list_(pa.struct([("pattern", pa.int32()), ("start", pa.int32()), ("target", pa.string()), ("price", pa.string()), ("context", pa.string())]))
+DEAL_TYPE = pa.list_(pa.struct([("pattern", pa.int32()), ("start", pa.int32()), ("target", pa.string()), ("price", pa.string()), ("context", pa.string())]))
 
 
 def find_deals(text: str) -> list[dict]:
@@ -42,7 +42,7 @@ def find_deals(text: str) -> list[dict]:
 
 @F.arrow_udf(MATCH)
 def deal_matches(text: pa.Array) -> pa.Array:
-    return pa.array([find_deals(x or "") for x in text.to_pylist()], _names)
+    return pa.array([find_deals(x or "") for x in text.to_pylist()], DEAL_TYPE)
 
 
 def clean_target(name: Column) -> Column:

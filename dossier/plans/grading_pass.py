@@ -4,27 +4,44 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.catalog import Catalog
 from dossier.functions.money import FINANCIALS, with_financials
 from dossier.functions.pylike import hash_id, py_str
 from dossier.functions.textstats import COUNTS, RATIOS, with_metrics
-from dossier.operators.cleaning import clean_html
-from dossier.operators.deals import deal_rows
+from dossier.operators.cleaning import clean
+from dossier.operators.deals import DEAL, DEAL_TYPE, MATCH, find_deals, with_deal_columns
 from dossier.operators.grading import SCORES, with_grade
-from dossier.operators.sections import extract_sections, section_rows
+from dossier.operators.sections import SECTIONS, section_rows, split_sections
 from dossier.plans.worklists import ungraded
 from dossier.session import written
 from dossier.sources.edgar import read_archive
 
 
+PARSED = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("deals", MATCH)])
+
+
+@F.arrow_udf(PARSED)
+def parse_filing(raw: pa.Array) -> pa.Array:
+    """Clean text, sections and deals of a batch, in one trip to Python."""
+    texts = [clean(x or "") for x in raw.to_pylist()]
+    sections = pa.array([list(split_sections(x).items()) for x in texts], pa.map_(pa.string(), pa.string()))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), sections, pa.array([find_deals(x) for x in texts], DEAL_TYPE)], ["clean_text", "sections", "deals"])
+
+
+# So that the filter on its result isn't pushed below it, which would run it twice.
+parse_filing = parse_filing.asNondeterministic()
+
+
 def enrich(raw: DataFrame) -> DataFrame:
-    """raw (with the column raw) with clean_text, sections, all metrics and the grade.
+    """raw (with the column raw) with clean_text, sections, deals, all metrics and the grade.
     Documents without text go: they stay ungraded."""
-    df = raw.withColumn("clean_text", clean_html(F.col("raw"))).drop("raw").where("clean_text <> ''")
-    df = df.withColumn("sections", extract_sections(F.col("clean_text")))
+    rest = [c for c in raw.columns if c != "raw"]
+    df = raw.withColumn("__p", parse_filing("raw")).where("__p.clean_text <> ''").select(*rest, "__p.*")
     df = with_financials(with_metrics(df, "clean_text"), "clean_text", "sections")
     return with_grade(df, F.map_keys("sections"))
 
@@ -66,7 +83,8 @@ def store(catalog: Catalog, done: DataFrame, as_of: Column) -> DataFrame:
     catalog.upsert("filing_sections", sections.withColumns({"section_id": hash_id("section", acc, F.col("section_name")), **times}), "document_name")
     metrics = metric_rows(done, ["accession_number", "document_name"])
     catalog.upsert("filing_metrics", metrics.withColumns({"metric_id": hash_id("metric", acc, F.col("metric_name")), **times}), "document_name")
-    deals = deal_rows(done.select("accession_number", "document_name", F.col("ticker").alias("buyer_ticker"), F.col("clean_text").alias("text")))
+    found = done.select("accession_number", "document_name", F.col("ticker").alias("buyer_ticker"), F.explode("deals").alias("match"))
+    deals = with_deal_columns(found).select("accession_number", "document_name", "buyer_ticker", *DEAL)
     catalog.upsert("filing_transactions", deals.withColumns({"transaction_id": hash_id("transaction", acc, F.col("seller_target_name")), **times}), "document_name")
     grades = done.select("accession_number", "document_name", "cik", "ticker", "form", *SCORES).withColumns({"grade_id": hash_id("grade", acc), "filing_id": hash_id("filing", acc), "graded_at": as_of})
     n = catalog.upsert("filing_grades", grades, "document_name")

@@ -142,5 +142,22 @@ def test_python_like(spark):
     assert one.select(falsy(F.lit(""), "U"), falsy(F.lit(None).cast("date"), "U")).first()[:] == ("U", "U")
 
 
+def test_str_of_doubles(spark):
+    from dossier.functions.pylike import py_str
+
+    values = [0.0, 1.25, -3.5, 25.4e9, 123456789.125, 1e15, 1e16, 1.5e22, 1e-3, 1e-4, 1.5e-5, 1e100, 2e-300, float("nan"), float("inf"), float("-inf"), None, 1e7, 5200.0]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    assert column(df.withColumn("s", py_str(F.col("x"))), "s") == [str(v) for v in values]
+
+
+def test_one_trip_to_python(spark):
+    """Text is searched once, whatever refers to the results."""
+    from dossier.plans.grading_pass import enrich
+
+    raw = spark.createDataFrame([("a", "T", "10-K", "Growth.")], "accession_number string, ticker string, form string, raw string")
+    plan = enrich(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_extract_all") <= 2
+
+
 def test_write_off_never_counts(spark):
     assert with_metrics(texts(spark, "write-off write-off")).first().negative_count == 0
