@@ -10,13 +10,15 @@
 3. Documents probe. A line held by more than 1 / HOT_SHARE of all counted lines
    is hot: there can be no more than HOT_SHARE such lines, so their index has a
    proven bound and goes to every task. Probes of all other lines go to their
-   shard as packed arrays of (hash, document, line), so lines never join lines
+   shard as packed arrays of (hash, document, row key, line), so lines never join lines
    and no shard gets a hot line's probes.
-4. The line numbers to drop come back to their documents, which are cut.
+4. The line numbers to drop come back to their rows by a key of doc_id and text
+   (128 bits), and the rows are cut. Rows of one key lose the same lines; a
+   doc_id alone, null above all, can stand for different texts.
 
 Null or empty text: one empty line, kept. Each row counts as a document; rows
-that share a doc_id lose or keep a line together. Null doc_id: below all
-others. A line repeated within a document counts once and is lost or kept with
+that share a doc_id lose or keep a line together, each where its own text has it.
+Null doc_id: below all others. A line repeated within a document counts once and is lost or kept with
 its copies. Other columns stay as they are.
 """
 
@@ -41,6 +43,8 @@ SHARD_LINES = 2_000_000
 #: Distinct lines that a task holds before it sends its counts on.
 HELD_LINES = 500_000
 NO_ID = -(1 << 63)
+#: The two halves of a row's key.
+KEY = ["__k1", "__k2"]
 
 
 def line_hashes(text: str | None, min_chars: int) -> list[tuple[int, bytes]]:
@@ -55,6 +59,11 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY."""
+    return docs.withColumns({name: F.xxhash64(F.lit(seed), "doc_id", "text") for seed, name in enumerate(KEY)})
+
+
 def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """a, b (halves of the hash), n (documents that hold the line), last (the largest)."""
 
@@ -97,24 +106,25 @@ def build_shards(lines: DataFrame, shards: int) -> DataFrame:
 
 
 def drops(docs: DataFrame, shards: DataFrame, n_shards: int, hot: LineIndex, min_chars: int) -> DataFrame:
-    """doc_id, line: what the shards say of all lines that aren't hot."""
+    """KEY, line: what the shards say of all lines that aren't hot. docs: with KEY."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            owners, numbers, digests = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows, numbers, digests = [], [], []
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 for k, d in line_hashes(text, min_chars):
-                    owners.append(NO_ID if doc is None else doc)
+                    rows.append(row)
                     numbers.append(k)
                     digests.append(d)
             if not digests:
                 continue
             a, b = _halves(digests)
             cold = ~hot.probe(a, b)[0]
-            a, b, owner, number = a[cold], b[cold], np.array(owners, np.int64)[cold], np.array(numbers, np.int64)[cold]
+            a, b, row, number = a[cold], b[cold], np.array(rows, np.int64)[cold], np.array(numbers, np.int64)[cold]
+            of_row = [c.to_numpy().view(np.uint64)[row] for c in (batch.column("doc_id").fill_null(NO_ID), *(batch.column(c) for c in KEY))]
             shard = np.mod(a.view(np.int64), n_shards)
             order = np.argsort(shard, kind="stable")
-            packed = np.stack((a, b, owner.view(np.uint64), number.view(np.uint64)), 1)[order]
+            packed = np.stack((a, b, *of_row, number.view(np.uint64)), 1)[order]
             ends = np.flatnonzero(np.diff(shard[order], append=-1))
             starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
             yield pa.RecordBatch.from_arrays([pa.array(shard[order][ends].astype(np.int32)), pa.array([packed[i : j + 1].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())], ["shard", "probes"])
@@ -128,17 +138,17 @@ def drops(docs: DataFrame, shards: DataFrame, n_shards: int, hot: LineIndex, min
                     continue
                 if shard != now:  # no line of this shard is frequent
                     continue
-                a, b, owner, number = np.frombuffer(probes, np.uint64).reshape(-1, 4).T
+                a, b, owner, *rest = np.frombuffer(probes, np.uint64).reshape(-1, 6).T.copy()
                 found, slot = index.probe(a, b)
-                owner, number = owner.view(np.int64)[found], number.view(np.int64)[found]
-                lose = owner != index.last[slot[found]]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[lose]), pa.array(number[lose])], ["doc_id", "line"])
+                lose = found.copy()
+                lose[found] = owner.view(np.int64)[found] != index.last[slot[found]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)[lose]) for x in rest], [*KEY, "line"])
 
-    probes = docs.select("doc_id", "text").mapInArrow(ask, "shard int, probes binary")
+    probes = docs.select("doc_id", "text", *KEY).mapInArrow(ask, "shard int, probes binary")
     both = shards.select("shard", "index", F.lit(None).cast("binary").alias("probes")).unionByName(probes.select("shard", F.lit(None).cast("binary").alias("index"), "probes"))
     # The index of a shard sorts before its probes, which then stream past it.
     met = both.repartition(n_shards, "shard").sortWithinPartitions("shard", F.col("index").isNull())
-    return met.mapInArrow(answer, "doc_id long, line long")
+    return met.mapInArrow(answer, ", ".join(f"{c} long" for c in [*KEY, "line"]))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
@@ -152,8 +162,9 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     rows = lines.where(F.col("n") > max(often, min_docs)).toArrow()  # no more than HOT_SHARE rows
     hot = LineIndex.build(*(rows.column(c).to_numpy().view(np.uint64) for c in ("a", "b")), rows.column("n").to_numpy().astype(np.uint32), rows.column("last").to_numpy())
     shards = written(build_shards(lines.where(F.col("n") <= max(often, min_docs)), n_shards), "line-shards")
-    lost = drops(docs, shards, n_shards, hot, min_chars).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__lost"))
-    joined = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).join(lost.withColumnRenamed("doc_id", "__id"), "__id", "left").drop("__id")
+    own = keyed(docs)
+    lost = drops(own, shards, n_shards, hot, min_chars).distinct().groupBy(*KEY).agg(F.collect_list("line").alias("__lost"))
+    joined = own.join(lost, KEY, "left")
     fields = [f for f in docs.schema.fields]
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", kept string, n_lines long, n_dropped long"
 

@@ -165,6 +165,23 @@ def test_lines(docs, hot, monkeypatch):
     assert sum(x[1] for x in got.values()) > 5
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_lines_of_rows_that_share_an_id(spark, hot, monkeypatch):
+    """Null or repeated doc_id over different texts: each row loses its own lines; with 1, no line is hot."""
+    monkeypatch.setattr(lines, "HOT_SHARE", hot)
+    common, own = "a line that many documents share", "a line of this document alone, number "
+    texts = [(None, f"{common}\n{own}1"), (None, f"{own}2\n{common}\n{own}3"), (None, f"{own}4"), (5, f"{own}5\n{common}"), (5, f"{common}\n{own}6\n{common}"), (7, f"{own}7\n{common}")]
+    rows = [(k, *x) for k, x in enumerate(texts + texts[:2])]
+    d = spark.createDataFrame(rows, "k int, doc_id long, text string").repartition(3)
+    got = {r.k: (r.kept, r.n_lines, r.n_dropped) for r in lines.drop_lines(d).collect()}
+    expected = {}
+    for k, i, t in rows:
+        every = t.split("\n")
+        left = [x for x in every if x != common or i == 7]
+        expected[k] = ("\n".join(left), len(every), len(every) - len(left))
+    assert got == expected
+
+
 def test_perfect_hash():
     from dossier.llm.perfecthash import LineIndex, PerfectHash
 
