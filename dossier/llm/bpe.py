@@ -17,8 +17,12 @@ import numpy as np
 
 #: Fixed value: the split pattern of byte-level BPE files that name no pattern of their own.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs of one space character of this length go to the library: the compiled pattern backtracks on them.
-_RUNS = (" " * 200, "\n" * 200, "\t" * 200)
+#: Runs of white space of this length, of any kinds, go to the library: the compiled pattern backtracks on them.
+RUN = 200
+_run = re.compile(rf"\s{{{RUN}}}")
+#: Every 25th character: such a run holds 8 in a row.
+_STEP = 25
+_maybe = re.compile(rf"\s{{{RUN // _STEP}}}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -28,6 +32,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def long_run(text: str) -> bool:
+    """Whether the text has a run of white space that goes to the library."""
+    return bool(_maybe.search(text[::_STEP]) and _run.search(text))
+
+
 class Encoder:
     """ids(text): an array of unsigned 32-bit ids, without begin, end or added
     special tokens; special strings in a text as the library's default has
@@ -67,7 +76,7 @@ class Encoder:
         return np.array(self.whole(text), np.uint32)
 
     def _compiled(self, text: str) -> np.ndarray:
-        if self.special.search(text) or any(run in text for run in _RUNS):
+        if self.special.search(text) or long_run(text):
             return self._by_library(text)
         return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 

@@ -76,6 +76,20 @@ def test_token_engine_agrees_with_the_library():
             assert e.ids(text).tolist() == e.whole(text), hex(k)
 
 
+def test_long_runs_of_mixed_white_space_go_to_the_library():
+    from dossier.llm import bpe
+
+    e = bpe.Encoder(TOKENIZER)
+    for run in ("\r\n", " \n", "\xa0", "\u3000\x85\t"):
+        text = "a" + run * (1_200_000 // len(run)) + "x"
+        assert e.ids(text).tolist() == e.whole(text)
+        for n in (199, 200, 201, 230):
+            for before in range(0, 30, 7):
+                text = "a" * before + (run * n)[:n] + "x y" * 20
+                assert bpe.long_run(text) == (n >= 200)
+                assert e.ids(text).tolist() == e.whole(text)
+
+
 def plain_fingerprint(text):
     w = WORDS(lower(text or ""))
     if not w:
