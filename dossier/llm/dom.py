@@ -8,18 +8,24 @@ import re
 import numpy as np
 
 #: Fixed value: elements that flow within a block of text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("canvas object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Fixed value: elements of MathML and SVG, which flow likewise.
+INLINE |= frozenset("math semantics annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
+INLINE |= frozenset("svg animate animatemotion animatetransform circle clippath defs desc ellipse filter foreignobject g image line lineargradient marker mask metadata mpath path pattern polygon polyline radialgradient rect set stop switch symbol text textpath tspan use view".split())
+#: Fixed value: elements of forms that stand within a paragraph and don't close it.
+CHOICE = frozenset("select datalist optgroup option".split())
 #: Fixed value: elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed value: elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea iframe object svg math select option canvas".split())
+RAW = frozenset("script style noscript template title textarea iframe".split())
 #: Fixed value: an open element of the key is closed by a start tag of these.
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]),
     "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"]), "head": frozenset(["body"]),
+    "option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"]),
 }
 #: Where the search for an element to close stops.
-SCOPE = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
+SCOPE = {"li": frozenset(["ul", "ol"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select", "datalist"]), "optgroup": frozenset(["select"])}
 #: Words in class, id or role, by what they say of an element.
 HINTS = {
     "menu": "nav menu navbar navigation breadcrumb breadcrumbs tabs toc pager pagination", "head": "header masthead banner logo topbar brand", "foot": "footer copyright colophon bottom legal",
@@ -30,7 +36,7 @@ HINTS = {
 _HINT = {word: k for k, words in enumerate(HINTS.values()) for word in words.split()}
 #: Element kinds that a classifier tells apart; the rest are "other".
 KINDS = "html body main article section div p h li list nav header footer aside form table cell figure pre other".split()
-_KIND = {t: t for t in KINDS} | {f"h{k}": "h" for k in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "td": "cell", "th": "cell", "figcaption": "figure", "blockquote": "pre", "fieldset": "form", "button": "form", "menu": "nav", "dialog": "aside"}
+_KIND = {t: t for t in KINDS} | {f"h{k}": "h" for k in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "td": "cell", "th": "cell", "figcaption": "figure", "blockquote": "pre", "fieldset": "form", "button": "form", **dict.fromkeys(CHOICE, "form"), "menu": "nav", "dialog": "aside"}
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _attr = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -152,7 +158,7 @@ class Page:
             if tag in VOID:
                 self._flush()
                 continue
-            if any(t == "p" for t, _ in self._open[-1:]):
+            if tag not in CHOICE and any(t == "p" for t, _ in self._open[-1:]):
                 self._close("p")
             for kind in [k for k, by in CLOSED_BY.items() if tag in by]:
                 self._close(kind, SCOPE.get(kind, frozenset()))

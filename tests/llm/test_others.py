@@ -65,6 +65,26 @@ def test_pages(spark):
     assert extraction.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", [
+    "<datalist id=d><option value=a><option value=b></datalist>", "<form><select name=s><option>One<option selected>Two</select></form>", "<canvas id=c>", "<object data=x.swf>",
+    "<svg viewBox='0 0 1 1'><path d='M0 0'/><g>",
+])
+def test_tags_without_end_cost_no_page(before):
+    article = "<article><h1>Title of it</h1><p>First paragraph goes on, with some words.<p>Second one; it ends here.</article>"
+    page = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/x>News</a></ul></nav>{}<footer>&copy; us</footer>"
+    assert extraction.extract([page.format(before + article)], extraction.classifier()) == ["Title of it\nFirst paragraph goes on, with some words.\nSecond one; it ends here."]
+
+
+def test_what_stands_in_a_paragraph_stays():
+    say = lambda x: [text for _, text, _ in Page(f"<body><article><p>So {x} it is.</p></article>").runs]
+    assert say("<math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow></math> as") == ["So x=12 as it is."]
+    assert say("<svg><title>t</title><path d='M0'/><text>label</text></svg> and <object><b>that</b></object>") == ["So label and that it is."]
+    page = Page("<body><article><p>Pick <select><optgroup><option>a<option>b<optgroup><option>c</select> now.</p></article>")
+    assert [text for _, text, _ in page.runs] == ["Pick", "a", "b", "c", "now."]
+    assert page.runs[0][0] == page.runs[-1][0]  # both in the paragraph
+    assert page.depth[page.runs[1][0]] == page.depth[page.runs[3][0]]
+
+
 def test_states_never_contradict():
     model = extraction.classifier()
     rng = np.random.default_rng(0)
