@@ -16,7 +16,7 @@ from dossier.llm.lines import drop_lines
 from dossier.llm.mixing import mix
 from dossier.llm.packing import pack_documents
 from dossier.llm.quality import judge
-from dossier.llm.simhash import near_duplicates
+from dossier.llm.simhash import one_of_each
 from dossier.session import written
 
 
@@ -33,10 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays.
-    Rows without doc_id, which no group can name, stay."""
-    lost = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents, one row stays: that with the smallest
+    doc_id, or one of those without doc_id where the group has no other."""
+    return one_of_each(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

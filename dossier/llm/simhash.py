@@ -64,16 +64,16 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and the columns `beside` (longs)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in beside)], ["doc_id", "fp", *beside])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *beside).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *beside]))
 
 
 def agreement(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -247,14 +247,33 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(nodes: DataFrame, distance: int) -> DataFrame:
+    """nodes (distinct fingerprints) with the root of their component."""
+    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of all that it reaches)."""
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    found = rooted(nodes, distance)
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(found.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (null above all),
+    and of rows that share it, that of the smallest digest of the whole row. Rows
+    alike in all columns count as one."""
+    key = ("__k1", "__k2")
+    # Maps have no digest; a null adds nothing to one but its mark.
+    names = [F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    own = docs.withColumns({name: F.xxhash64(F.lit(seed), *names, *(c.isNull() for c in names)) for seed, name in enumerate(key)})
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *key)
+    nodes = written(fingerprints(own, key).groupBy("fp").agg(F.min(row).alias("least")), "nodes")
+    stays = rooted(nodes, distance).groupBy("root").agg(F.min("least").alias("x")).select("x.*").select(*key)
+    return own.join(stays, list(key), "left_semi").dropDuplicates(list(key)).drop(*key)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,15 @@ def test_pipeline(spark):
     assert mixed.columns == docs.columns and mixed.count() > 0
     pieces = stages["pack"](spark, mixed, "")
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in mixed.collect()}
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """Also of groups with null or repeated doc_id; a doc_id that stands for two texts loses neither for the other."""
+    import corpus_pipeline as c
+
+    say = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    texts = [(1, 0), (1, 0), (2, 0), (None, 0), (None, 1), (None, 1), (None, 2), (5, 3), (3, 3), (5, 4), (6, 5), (6, 5)]
+    d = spark.createDataFrame([(i, say(k), "en") for i, k in texts] + [(6, say(5), None)], "doc_id long, text string, lang string").repartition(3)
+    got = [(r.doc_id, r.text) for r in dict(c.STAGES)["near_dedup"](spark, d, "").collect()]
+    expected = [(1, 0), (None, 1), (None, 2), (3, 3), (5, 4), (6, 5)]
+    assert sorted(got, key=str) == sorted(((i, say(k)) for i, k in expected), key=str)
