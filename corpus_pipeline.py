@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.llm import lines, mixing, quality
+from dossier.llm.common import put_back
 from dossier.llm.lines import drop_lines
 from dossier.llm.mixing import mix
 from dossier.llm.packing import pack_documents
@@ -22,14 +24,14 @@ from dossier.session import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return put_back(judge(docs).where("kept"), docs.columns, quality.RESULTS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; a text left without lines stays as an empty one."""
     kept = drop_lines(docs)
     new = {"text": F.col("kept")} | ({"n_chars": F.char_length("kept").cast("long")} if "n_chars" in docs.columns else {})
-    return kept.withColumns(new).select(*docs.columns)
+    return put_back(kept.withColumns(new), docs.columns, lines.RESULTS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy that the mix takes."""
     mixed = mix(docs).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return mixed.select(*docs.columns)
+    return put_back(mixed, docs.columns, mixing.RESULTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

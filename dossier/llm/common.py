@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the contracts: tab, line feed, vertical tab, form feed, carriage return, space.
 SPACE = " \t\n\x0b\x0c\r"
@@ -38,5 +39,31 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def outward(columns: list[str], results: Iterable[str]) -> list[str]:
+    """The names of a table's columns beside an operator's results: one that a
+    result has too gets "_in" (and "_" until it is free)."""
+    results = {c.lower() for c in results}
+    taken = results | {c.lower() for c in columns}
+    out = []
+    for name in columns:
+        if name.lower() in results:
+            name += "_in"
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def set_aside(docs: DataFrame, results: Iterable[str]) -> DataFrame:
+    """docs with its columns under their outward names."""
+    return docs.toDF(*outward(docs.columns, results))
+
+
+def put_back(df: DataFrame, columns: list[str], results: Iterable[str]) -> DataFrame:
+    """The table's own columns, under the names they had."""
+    return df.select(*[F.col(f"`{now}`").alias(name) for name, now in zip(columns, outward(columns, results), strict=True)])
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

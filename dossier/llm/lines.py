@@ -19,7 +19,7 @@
 Null or empty text: one empty line, kept. Each row counts as a document; rows
 that share a doc_id lose or keep a line together, each where its own text has it.
 Null doc_id: below all others. A line repeated within a document counts once and is lost or kept with
-its copies. Other columns stay as they are.
+its copies. Other columns stay as they are; one named like a result gets "_in".
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import SPACE, bounded_batches, slices
+from dossier.llm.common import SPACE, bounded_batches, set_aside, slices
 from dossier.llm.perfecthash import LineIndex
 from dossier.session import written
 
@@ -43,6 +43,7 @@ SHARD_LINES = 2_000_000
 #: Distinct lines that a task holds before it sends its counts on.
 HELD_LINES = 500_000
 NO_ID = -(1 << 63)
+RESULTS = ("kept", "n_lines", "n_dropped")
 #: The two halves of a row's key.
 KEY = ["__k1", "__k2"]
 
@@ -155,6 +156,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     """docs with `kept` (the text without its dropped lines), n_lines, n_dropped."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    docs = set_aside(docs, RESULTS)
     lines = written(count_lines(docs, min_chars).where(F.col("n") >= min_docs), "lines")
     seen = lines.agg(F.count("*"), F.sum("n")).first()
     n_shards = max(1, -(-seen[0] // SHARD_LINES), min(seen[0] // 1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -182,7 +184,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
                 n_lines.append(len(every))
                 n_dropped.append(len(gone))
             columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f.name for f in fields), "kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*(f.name for f in fields), *RESULTS])
 
     return joined.select(*[F.col(f"`{f.name}`") for f in fields], "__lost").mapInArrow(cut, kept_schema)
 

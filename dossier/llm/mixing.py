@@ -19,7 +19,8 @@ taken if its rank is no larger.
 
 Null or empty text: size 0, kept or not at no cost. Null source: a source of
 its own, the last. Sources without words have target 0. Repeated rows share
-their rank and are taken together. Other columns stay as they are.
+their rank and are taken together. Other columns stay as they are; one named
+like a result gets "_in".
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dossier.llm.common import outward
 from dossier.session import written
 
 #: Rank bins: 1/4096 wide, up to rank 16.
 BINS_PER_UNIT, LAST_RANK = 4096, 16
+RESULTS = ("size", "source_size", "target", "copies")
+#: Names that are needed on the way.
+BETWEEN = ("wanted", "scale", "last")
 #: More sources than this are joined by shuffle instead of broadcast.
 MOST_BROADCAST = 10_000
 
@@ -113,12 +118,16 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...], share: float, most: f
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, seed: int = 7, columns: list[str] | None = None) -> DataFrame:
     """`columns` of docs (default: all) with size, source_size, target and copies (0 to `most`)."""
-    names = docs.columns if columns is None else columns
+    docs = docs if columns is None else docs.select(*dict.fromkeys([*columns, "doc_id", "source", "text"]))
+    asked = docs.columns if columns is None else columns
+    shown = dict(zip(docs.columns, outward(docs.columns, RESULTS), strict=True))
+    inner = dict(zip(docs.columns, outward(docs.columns, [*RESULTS, *BETWEEN]), strict=True))
+    docs, names = docs.toDF(*inner.values()), [inner[c] for c in asked]
     sized = written(with_size(docs, seed).select(*dict.fromkeys([*names, "source", "size", "__u"])), "sizes")
     plan, few = plan_mix(sized, weights, share, most)
     rank = F.coalesce(_rank(F.col("scale"), F.col("size"), F.col("__u")), F.lit(float("inf")))
     met = _meet(sized, plan, few).withColumn("copies", F.col("copies") + F.when(rank <= F.col("last"), 1).otherwise(0))
-    return met.select(*names, "size", "source_size", "target", "copies")
+    return met.select(*[F.col(f"`{inner[c]}`").alias(shown[c]) for c in asked], *RESULTS)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ places are sorted as longs, those with an equal neighbour are compared as
 strings. No word leaves its row, so a source or text of any size shuffles nothing.
 
 Null or empty text: no words, so base_failed. Null language or source: a
-group of its own. Repeated rows keep one result each. Other columns stay.
+group of its own. Repeated rows keep one result each. Other columns stay; one
+named like a result gets "_in".
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import SPACE
+from dossier.llm.common import SPACE, outward
 from dossier.session import written
 
 SYMBOLS = "#*$%&|<>"
@@ -31,6 +32,9 @@ MIN_GROUP = 100
 FENCE = 3
 #: Measure, slack above, slack below (none: no lower fence). Shares are in thousandths, word length in hundredths.
 MEASURES = {"symbol_share": (50, None), "dup_line_share": (500, None), "repeat_share": (200, None), "word_length": (150, 150)}
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+#: Names that are needed on the way.
+BETWEEN = ("n_lines", *(f"{m}_{x}" for m in MEASURES for x in ("high", "low")))
 #: More groups than this are joined by shuffle instead of broadcast.
 MOST_BROADCAST = 10_000
 
@@ -130,7 +134,11 @@ def fences(counts: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """`columns` of docs (default: all) with the measures, base_failed and kept."""
-    names = docs.columns if columns is None else columns
+    docs = docs if columns is None else docs.select(*dict.fromkeys([*columns, "lang", "source", "text"]))
+    wanted = docs.columns if columns is None else columns
+    shown = dict(zip(docs.columns, outward(docs.columns, RESULTS), strict=True))
+    inner = dict(zip(docs.columns, outward(docs.columns, [*RESULTS, *BETWEEN]), strict=True))
+    docs, names = docs.toDF(*inner.values()), [inner[c] for c in wanted]
     need = list(dict.fromkeys([*names, "lang", "source"]))
     df = written(measured(docs).select(*need, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"), "measures")
     limits = written(fences(sketches(df)).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{m}_{x}" for m, (_, low) in MEASURES.items() for x in ("high", "low") if x == "high" or low is not None]), "fences")
@@ -142,7 +150,7 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
         if low is not None:
             within &= _measure(m) >= F.col(f"{m}_low")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & within}).select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & within}).select(*[F.col(f"`{inner[c]}`").alias(shown[c]) for c in wanted], *RESULTS)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,3 +177,24 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     got = [(r.doc_id, r.text) for r in dict(c.STAGES)["near_dedup"](spark, d, "").collect()]
     expected = [(1, 0), (None, 1), (None, 2), (3, 3), (5, 4), (6, 5)]
     assert sorted(got, key=str) == sorted(((i, say(k)) for i, k in expected), key=str)
+
+
+def test_columns_named_like_results_stay(spark):
+    import corpus_pipeline as c
+    from dossier.llm.lines import drop_lines
+    from dossier.llm.mixing import mix
+    from dossier.session import written
+
+    names = ["kept", "n_words", "word_chars", "n_lines", "n_dropped", "Size", "source_size", "target", "copies", "wanted", "scale", "last", "word_length_low", "base_failed", "kept_in"]
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = plain.selectExpr("*", *[f"concat({k}, '-', doc_id) as `{x}`" for k, x in enumerate(names)])
+    for op, result in ((quality.judge, "kept"), (drop_lines, "n_dropped"), (mix, "copies")):
+        rows = written(op(docs), "t")
+        assert {(r.doc_id, r[result]) for r in rows.collect()} == {(r.doc_id, r[result]) for r in op(plain).collect()}
+        at = result + ("_in_" if result == "kept" else "_in")
+        assert all(r[at] == f"{names.index(result)}-{r.doc_id}" and r.scale == f"10-{r.doc_id}" for r in rows.collect())
+    for name, stage in c.STAGES[:-1]:
+        out, bare = written(stage(spark, docs, ""), "t"), stage(spark, plain, "")
+        assert out.columns == docs.columns
+        assert sorted(out.select(*plain.columns).collect()) == sorted(bare.collect())
+        assert all(r[x] == f"{k}-{r.doc_id}" for r in out.collect() for k, x in enumerate(names))
