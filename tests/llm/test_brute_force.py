@@ -174,7 +174,7 @@ def plain_lines(rows, least=3, chars=20):
 @pytest.mark.parametrize("hot", [20_000, 30])
 def test_lines(docs, hot, monkeypatch):
     monkeypatch.setattr(lines, "HOT_SHARE", hot)
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.drop_lines(docs.withColumnRenamed("kept", "other")).collect()}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.drop_lines(docs).collect()}
     assert got == plain_lines(fixture())
     assert sum(x[1] for x in got.values()) > 5
 
@@ -228,9 +228,54 @@ def plain_substrings(rows, width=13):
 def test_substrings(docs, chunk, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     monkeypatch.setattr(substrings, "BUCKET", 20_000)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.cut_repeats(docs.drop("kept")).collect()}
-    assert got == plain_substrings(fixture())
-    assert sum(x[1] for x in got.values()) > 100
+    got = substrings.cut_repeats(docs).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == plain_substrings(fixture())
+    assert sum(r.n_removed for r in got) > 100 and all(r.kept_in == 2 for r in got)
+
+
+def test_substrings_of_large_buckets(spark, docs, monkeypatch):
+    """A frequent long seed in many contexts, and a passage in many documents: buckets over HELD go on for several turns."""
+    monkeypatch.setattr(substrings, "CHUNK", 4000)
+    monkeypatch.setattr(substrings, "HELD", 3000)
+    r = random.Random(8)
+    say = lambda n: [f"w{r.randrange(40)}" for _ in range(n)]
+    seed, passage = ["extraordinarily", "uncommonwealth"], say(30)
+    texts = [" ".join(say(5) + seed + say(8) + (passage if k % 2 else []) + say(6) + seed + say(12)) for k in range(150)]
+    rows = [(k * 11 % 1009, t) for k, t in enumerate(texts)]
+    turns = []
+    count = substrings.count_buckets
+    monkeypatch.setattr(substrings, "count_buckets", lambda *a: turns.append(a[-1]) or count(*a))
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain_substrings(rows) and len(turns) > 1
+    monkeypatch.setattr(substrings, "HELD", 1)  # every turn, and the last without a bound
+    monkeypatch.setattr(substrings, "TURNS", 3)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain_substrings(rows)
+
+
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch):
+    """Null or repeated doc_id over different texts: each row loses words of its own only."""
+    say = lambda name, n=20: " ".join(f"{name}{k}" for k in range(n))
+    texts = [(1, say("a")), (5, say("u")), (5, say("a")), (5, say("u") + " " + say("a")), (None, say("a")), (None, say("n")), (7, say("n") + " " + say("x")), (7, say("x")), (7, say("x")), (8, say("x"))]
+    rows = [(k, *x) for k, x in enumerate(texts)]
+    d = spark.createDataFrame(rows, "k int, doc_id long, text string").repartition(3)
+    low = lambda i: -1 if i is None else i
+    first = {}
+    for _, i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            key = tuple(w[k : k + 13])
+            first[key] = min(first.get(key, low(i)), low(i))
+    expected = {}
+    for n, i, t in rows:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < low(i) for j in range(13)}
+        expected[n] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    for tag in (0xFFFF, 0):  # also where all tags are equal
+        with monkeypatch.context() as m:
+            m.setattr(substrings, "TAG", tag)
+            assert {r.k: (r.n_words, r.n_removed, r.kept) for r in substrings.cut_repeats(d).collect()} == expected
+    assert expected[1][1] == 0 and expected[2][1] == 20 and expected[5][1] == 0
 
 
 def test_substrings_compares_words_when_hashes_collide(docs, monkeypatch):
@@ -306,6 +351,5 @@ def test_edges(spark, rows):
 def test_digest_of_kept_text(spark, docs):
     from pyspark.sql import functions as F
 
-    d = docs.drop("kept")
-    got = {r.doc_id: r.h for r in lines.drop_lines(d).select("doc_id", F.sha2("kept", 256).alias("h")).collect()}
+    got = {r.doc_id: r.h for r in lines.drop_lines(docs).select("doc_id", F.sha2("kept", 256).alias("h")).collect()}
     assert got == {i: hashlib.sha256(x[2].encode()).hexdigest() for i, x in plain_lines(fixture()).items()}
