@@ -1,5 +1,8 @@
 """Chat formatting, extraction, quality rules, search and the pipeline."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -145,6 +148,40 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def plain_top(rows, k=10):
+    """Scores in Python's integers; of rows that share a query's id, the smallest vector asks."""
+    clean = [(i, [math.floor(np.float64(x) * 1024) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(np.float64(x) * 1024) for x in v)]
+    asks = {}
+    for i, v in clean:
+        if i % 100 == 0:
+            asks[i] = min(asks.get(i, v), v)
+    out = {}
+    for q, v in asks.items():
+        score = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in clean if i != q)[:k]
+        out[q] = [(n + 1, i, -s) for n, (s, i) in enumerate(score)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_k_of_odd_vectors(spark, seed, monkeypatch):
+    """Sparse, wide, huge and repeated vectors; vec_ids that several rows share, some of whose vectors take no part."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(topk, "LEAST_SHARD_ROWS", 300)
+    r = random.Random(seed)
+    sparse = lambda n: [r.choice([-1, 1, 2]) * r.random() if r.random() < 0.15 else 0.0 for _ in range(n)]
+    rows = [(k, sparse(40)) for k in range(0, 900)]
+    rows += [(100, [None, 1.0]), (100, [1.0, 1.0]), (200, None), (200, [float("nan")] * 3), (200, sparse(40)), (5, [1e300] * 4), (6, [2.0] * 40), (6, [2.0] * 40)]
+    if seed == 1:
+        rows += [(700, [1e20, -1e20]), (701, [1e20, 3.0]), (702, [-1e20] * 3), (1000, [3e15, 1.0]), (1001, [1e307] * 2)]
+    if seed == 2:  # all products small in number, with sums beyond 2^53
+        rows = [(k, [r.uniform(-1, 1) * 1e5 for _ in range(300)]) for k in range(250)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for x in topk.top_k(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert got == plain_top(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
     from dossier.session import written
