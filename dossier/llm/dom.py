@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
+from dossier.llm.common import ASCII_LOWER
+
 #: Fixed value: elements that flow within a block of text.
 INLINE = frozenset("canvas object a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: Fixed value: elements of MathML and SVG, which flow likewise.
@@ -38,7 +41,10 @@ _HINT = {word: k for k, words in enumerate(HINTS.values()) for word in words.spl
 KINDS = "html body main article section div p h li list nav header footer aside form table cell figure pre other".split()
 _KIND = {t: t for t in KINDS} | {f"h{k}": "h" for k in range(1, 7)} | {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "td": "cell", "th": "cell", "figcaption": "figure", "blockquote": "pre", "fieldset": "form", "button": "form", **dict.fromkeys(CHOICE, "form"), "menu": "nav", "dialog": "aside"}
 
-_token = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_begin = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_attributes = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+#: Where a script or style without an end tag ends: at the next block of text.
+_block = re.compile(r"<(?:article|aside|body|div|footer|form|h[1-6]|header|main|nav|ol|p|section|table|ul)\b", re.I)
 _attr = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _label = re.compile(r'data-label="(\d)"')
 _parts = re.compile(r"[A-Za-z][a-z]*")
@@ -57,6 +63,7 @@ class Page:
         self.last: list[int] = []
         self.runs: list[tuple[int, str, int]] = []
         self._open: list[tuple[str, int]] = []
+        self._levels: dict[str, list[int]] = {}  # by name, where it is open
         self._text: list[str] = []
         self._linked = 0
         self._links = 0
@@ -81,22 +88,22 @@ class Page:
         self.hints.append(bits)
         self.label.append(int(label[1]) if label else -1)
         self.last.append(-1)
+        self._levels.setdefault(tag, []).append(len(self._open))
         self._open.append((tag, len(self.kind) - 1))
 
     def _pop(self) -> None:
-        _, k = self._open.pop()
+        tag, k = self._open.pop()
+        self._levels[tag].pop()
         self.last[k] = len(self.kind) - 1
 
     def _close(self, tag: str, stop: frozenset = frozenset()) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            if self._open[k][0] == tag:
-                self._flush()
-                self._links = 0
-                while len(self._open) > k:
-                    self._pop()
-                return
-            if self._open[k][0] in stop:
-                return
+        """Closes the innermost element of that name, unless one of `stop` is open within it."""
+        at = (self._levels.get(tag) or [0])[-1]
+        if at and not any((self._levels.get(x) or [0])[-1] > at for x in stop):
+            self._flush()
+            self._links = 0
+            while len(self._open) > at:
+                self._pop()
 
     def _flush(self) -> None:
         if self._text:
@@ -111,23 +118,38 @@ class Page:
             self._linked += len(text)
 
     def _parse(self, source: str) -> None:
-        at, end = 0, len(source)
-        low = None
+        """In time that grows with the length of the source, whatever is in it: what isn't
+        found once (an end of comments, of scripts, a matching quote) isn't looked for again."""
+        at, end, last = 0, len(source), source.rfind(">")
+        low, unclosed = None, set()
+        spare = 4 * end + 10_000  # characters that may be read in vain for quotes that don't match
         while at < end:
-            found = _token.search(source, at)
-            if not found:
+            found = _begin.search(source, at)
+            if not found or found.start() > last:  # a tag that never closes is text
                 self._say(source[at:])
                 return
             if found.start() > at:
                 self._say(source[at : found.start()])
             at = found.end()
-            tag = found[2] or found[5]
+            tag = found[4]
             if not tag:
-                if found[0].startswith("<![CDATA["):
-                    self._say(found[0][9:].removesuffix("]]>"))
+                mark = "-->" if found[1] else "]]>" if found[2] else ">"
+                close = source.find(mark, found.start() + 2) if mark not in unclosed else -1
+                if close < 0:
+                    unclosed.add(mark)
+                    at = at if found[2] else source.find(">", at - 1) + 1 or end
+                    continue
+                if found[2]:
+                    self._say(source[at:close])
+                at = close + len(mark)
                 continue
-            tag, closing, attrs = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
-            if closing:
+            to = _attributes.match(source, at).end() if spare > 0 else end
+            if to == end or source[to] != ">":
+                spare -= to - at
+                to = source.find(">", at)
+            attrs, at = source[at:to], to + 1
+            tag = tag.lower()
+            if found[3]:
                 if tag == "a":
                     self._links = max(0, self._links - 1)
                 elif tag == "br":
@@ -137,15 +159,16 @@ class Page:
                 continue
             if tag in RAW:
                 if not attrs.endswith("/"):
-                    low = source.lower() if low is None else low
-                    close = low.find(f"</{tag}", at)
-                    # Lower case may change lengths of rare letters; then look again, slowly.
-                    if len(low) != len(source):
-                        again = re.compile(f"</{tag}", re.I).search(source, at)
-                        close = again.start() if again else -1
-                    at = end if close < 0 else close
+                    if low is None:
+                        low = source.lower()
+                        low = low if len(low) == end else source.translate(ASCII_LOWER)
+                    close = low.find(f"</{tag}", at) if tag not in unclosed else -1
                     if close >= 0:
                         at = source.find(">", close) + 1 or end
+                    else:
+                        unclosed.add(tag)
+                        block = _block.search(source, at) if tag in ("script", "style") else None
+                        at = block.start() if block else end if tag in ("script", "style") else at
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -153,7 +176,7 @@ class Page:
                 elif tag in ("br", "img", "wbr"):
                     self._say(" " if tag == "br" else "")
                 continue
-            if tag in ("html", "body", "head") and tag != "body":
+            if tag in ("html", "head"):
                 continue
             if tag in VOID:
                 self._flush()
@@ -170,6 +193,11 @@ FEATURES = [*(f"is_{k}" for k in KINDS), *(f"up_{k}" for k in KINDS), *(f"hint_{
 
 def features(page: Page) -> np.ndarray:
     """A row per element."""
+    return np.concatenate(list(feature_blocks(page)))
+
+
+def feature_blocks(page: Page, most: int = 50_000) -> Iterator[np.ndarray]:
+    """The rows of features, at most so many at once."""
     n = len(page.kind)
     kind, parent, depth, last = (np.array(x, np.int64) for x in (page.kind, page.parent, page.depth, page.last))
     bits = np.array(page.hints, np.int64)
@@ -208,17 +236,22 @@ def features(page: Page) -> np.ndarray:
     widest = np.zeros(n)
     np.maximum.at(widest, up[1:], chars[1:])
     hinted = np.concatenate(([0], np.cumsum(bits > 0)))
-    out = np.zeros((n, len(FEATURES)), np.float32)
     k = len(KINDS)
-    out[first, kind] = 1
-    out[first[1:], k + kind[up[1:]]] = 1
-    for j in range(len(HINTS)):
-        out[:, 2 * k + j] = bits >> j & 1
-        out[:, 2 * k + len(HINTS) + j] = over >> j & 1
     tail = (
         depth, np.log1p(chars), own[:, 0] / np.maximum(chars, 1), words / np.maximum(runs, 1), np.log1p(longest), links / np.maximum(chars, 1), np.log1p(runs), chars / size, rank, siblings,
         times[inverse] / np.maximum(siblings, 1), total[:-1, 0] / size, 100 * stops / np.maximum(chars, 1), np.log1p(last - first), (hinted[last + 1] - hinted[:-1]) / (last - first + 1), chars / np.maximum(widest[up], 1),
     )
-    for j, column in enumerate(tail, 2 * k + 2 * len(HINTS)):
-        out[:, j] = column
-    return out
+    for i in range(0, n, most):
+        part = slice(i, min(n, i + most))
+        at = np.arange(part.stop - i)
+        out = np.zeros((len(at), len(FEATURES)), np.float32)
+        out[at, kind[part]] = 1
+        out[at, k + kind[up[part]]] = 1
+        if i == 0:
+            out[0, k : 2 * k] = 0  # the root has no parent
+        for j in range(len(HINTS)):
+            out[:, 2 * k + j] = bits[part] >> j & 1
+            out[:, 2 * k + len(HINTS) + j] = over[part] >> j & 1
+        for j, column in enumerate(tail, 2 * k + 2 * len(HINTS)):
+            out[:, j] = column[part]
+        yield out

@@ -13,9 +13,11 @@ The trees are trained once per process on TRAIN_PAGES made-up pages with a
 fixed seed, and travel to the tasks as a constant of a few kilobytes. Pages
 are independent rows: nothing is shuffled.
 
-Null or empty html, or no main text: an empty text. Broken markup is read as far
-as it goes; nothing is capped. Repeated rows keep one result each; other
-columns stay as they are.
+Null or empty html, or no main text: an empty text. Broken markup costs no page: a tag that
+never closes is text; a comment that never ends is a tag; a script or style that never ends stops
+at the next block element, and what else never ends (a title, a template) is read as page.
+Parsing takes time in proportion to the length of a page; nothing is capped. Repeated rows
+keep one result each; other columns stay as they are, one named text as text_in.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier.llm.boosting import Boosted
-from dossier.llm.common import bounded_batches, slices
-from dossier.llm.dom import Page, features
+from dossier.llm.common import bounded_batches, set_aside, slices
+from dossier.llm.dom import Page, feature_blocks, features
 from dossier.llm.madeup import Maker
 
 #: Bound of the training sample.
@@ -37,6 +39,9 @@ TRAIN_PAGES, TRAIN_SEED = 500, 11
 MIXED, MAIN, OTHER = range(3)
 #: What leaving main text costs, in log odds: most of an article's elements belong to it.
 LEAVE = 1.0
+#: Rows of features that are judged at once.
+ROWS = 50_000
+RESULTS = ("text",)
 
 
 @lru_cache(maxsize=1)
@@ -83,12 +88,20 @@ def decode(page: Page, margins: np.ndarray) -> list[int]:
 
 def extract(pages: list[str], model: Boosted) -> list[str]:
     parsed = [Page(x) for x in pages]
-    rows = [features(p) for p in parsed]
-    margins = model.margins(np.concatenate(rows)) if rows else np.zeros((0, 3))
+    margins, held = [np.zeros((0, 3))], []
+    for page in parsed:
+        for block in feature_blocks(page):
+            held.append(block)
+            if sum(map(len, held)) >= ROWS:
+                margins.append(model.margins(np.concatenate(held)))
+                held = []
+    if held:
+        margins.append(model.margins(np.concatenate(held)))
+    margins = np.concatenate(margins)
     out, at = [], 0
-    for page, own in zip(parsed, rows, strict=True):
-        state = decode(page, margins[at : at + len(own)])
-        at += len(own)
+    for page in parsed:
+        state = decode(page, margins[at : at + len(page.kind)])
+        at += len(page.kind)
         out.append("\n".join(text for k, text, _ in page.runs if state[k] == MAIN))
     return out
 
@@ -97,13 +110,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """pages with text (of the column html)."""
     bounded_batches(pages.sparkSession)
     model = classifier()
+    pages = set_aside(pages, RESULTS)
     fields = pages.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 2 << 20):
             text = extract([x or "" for x in batch.column("html").to_pylist()], model)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(text, pa.string())], [*(f.name for f in fields), "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(text, pa.string())], [*(f.name for f in fields), *RESULTS])
 
     return pages.mapInArrow(run, schema)
 

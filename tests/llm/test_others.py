@@ -1,7 +1,10 @@
 """Chat formatting, extraction, quality rules, search and the pipeline."""
 
+import html.parser
 import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -70,7 +73,7 @@ def test_pages(spark):
 
 @pytest.mark.parametrize("before", [
     "<datalist id=d><option value=a><option value=b></datalist>", "<form><select name=s><option>One<option selected>Two</select></form>", "<canvas id=c>", "<object data=x.swf>",
-    "<svg viewBox='0 0 1 1'><path d='M0 0'/><g>",
+    "<svg viewBox='0 0 1 1'><path d='M0 0'/><g>", "<iframe src=x>", "<noscript><img src=y>", "<template>", "<textarea name=t>", "<script>var a = 1 < 2;", "<style>p{margin:0}", "<!-- never ends ", "<div title='a>b'></div>", "<STYLE>i{}</Style>",
 ])
 def test_tags_without_end_cost_no_page(before):
     article = "<article><h1>Title of it</h1><p>First paragraph goes on, with some words.<p>Second one; it ends here.</article>"
@@ -78,6 +81,63 @@ def test_tags_without_end_cost_no_page(before):
     assert extraction.extract([page.format(before + article)], extraction.classifier()) == ["Title of it\nFirst paragraph goes on, with some words.\nSecond one; it ends here."]
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 1_600_000, "<a " * 1_600_000 + ">", "<a \">\"" * 700_000 + "'", "<!--" * 1_200_000, "<script>" * 600_000, "<title>" * 600_000, "<![CDATA[" * 500_000, "&amp" * 1_200_000, "<" * 5_000_000, "<p class='" * 500_000,
+    "<div>" * 100_000 + "</p>" * 1_000_000, "<ul><li><ul>" + "<div>" * 100_000 + "<li></li>" * 100_000, "<td>" * 100_000 + "<option>" * 100_000,
+])
+def test_malformed_pages_take_time_in_proportion(page):
+    """Megabytes of it; the quadratic parser would need hours."""
+    began = time.process_time()
+    extraction.extract([page], extraction.classifier())
+    assert time.process_time() - began < 60
+
+
+def test_articles_of_the_test_pages(spark):
+    """An independent parser's text of the article element, for pages that have one."""
+
+    class Article(html.parser.HTMLParser):
+        blocks, text, depth, gone = (), "", 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            words = set(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).split())
+            if self.depth and (self.gone or tag in ("nav", "aside", "form", "script", "style", "footer", "header") or words & {"ad", "comments", "comment", "share", "notice"}):
+                self.gone += tag not in ("br", "img", "input", "hr")
+            elif tag == "article" or (self.depth and tag in ("h1", "h2", "h3", "p", "li", "ul", "ol", "div", "section", "blockquote", "pre", "td", "tr", "table", "dt", "dd")):
+                self.depth += tag == "article"
+                self.end()
+            elif tag == "br":
+                self.text += " "
+
+        def handle_endtag(self, tag):
+            if self.gone:
+                self.gone -= tag not in ("br",)
+            elif tag == "article":
+                self.end()
+                self.depth -= 1
+            elif tag not in ("b", "i", "a", "em", "strong", "code", "span"):
+                self.end()
+
+        def handle_data(self, data):
+            self.text += data if self.depth and not self.gone else ""
+
+        def end(self):
+            if self.depth and self.text.split():
+                self.blocks = (*self.blocks, " ".join(self.text.split()))
+            self.text = ""
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    same = total = 0
+    for r in extraction.main_text(pages.withColumn("text", pages.page_id)).collect():
+        if r.html and len(re.findall("<article", r.html)) == 1 and "</article>" in r.html:
+            plain = Article()
+            plain.feed(r.html)
+            plain.close()
+            total += 1
+            same += "\n".join(plain.blocks) == r.text
+            assert r.text_in == r.page_id
+    assert total > 100 and same == total
+
+
 def test_what_stands_in_a_paragraph_stays():
     say = lambda x: [text for _, text, _ in Page(f"<body><article><p>So {x} it is.</p></article>").runs]
     assert say("<math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow></math> as") == ["So x=12 as it is."]
@@ -101,8 +161,6 @@ def test_states_never_contradict():
 
 
 def plain_measures(text):
-    import re
-
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     places = {}
     for k in range(len(w) - 2):
