@@ -3,8 +3,13 @@ near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
 stage's rows to the shared folder and reads them back as the next one's docs,
-so a lost executor repeats tasks of one stage only. Every stage works on all that
-its predecessor kept.
+so a lost executor repeats tasks of one stage only; what a stage no longer needs is
+deleted. Every stage works on all that its predecessor kept.
+
+Null or empty texts count as empty; null doc_id, lang or source are values of their own.
+Repeated rows are judged alike, one of them stays in near_dedup, ties go to the smallest
+digest of the row. Extra columns stay as they are up to the last stage, whatever their
+names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from dossier.llm.mixing import mix
 from dossier.llm.packing import pack_documents
 from dossier.llm.quality import judge
 from dossier.llm.simhash import one_of_each
-from dossier.session import written
+from dossier.session import delete, recorded, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, one row stays: that with the smallest
     doc_id, or one of those without doc_id where the group has no other."""
-    return one_of_each(docs).select(*docs.columns)
+    return put_back(one_of_each(docs), docs.columns, ())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        with recorded() as made:
+            docs = written(stage(spark, docs, sf_dir), name)
+        delete(spark, before + made[:-1])  # the stage's rows are written: nothing reads these again
+        before = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_recorders: list[list[str]] = []
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "dossier") -> SparkSession:
     """A session for tests and benches; on a cluster, the caller brings its own."""
     return (
@@ -23,11 +28,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "dos
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one
-    of our own where that is unset, as in tests on one machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
+    and all runs on one machine, as in tests, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="dossier-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -35,8 +42,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/dossier/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder, of this application."""
+    path = f"{shared_folder(spark).rstrip('/')}/dossier/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _recorders:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that are given out meanwhile, in order."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.pop()
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """For intermediate tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """For the end of a job, when its results are written elsewhere: deletes what it left in the shared folder."""
+    delete(spark, [f"{shared_folder(spark).rstrip('/')}/dossier/{spark.sparkContext.applicationId}"])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
