@@ -41,13 +41,14 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def outward(columns: list[str], results: Iterable[str]) -> list[str]:
     """The names of a table's columns beside an operator's results: one that a
-    result has too gets "_in" (and "_" until it is free)."""
+    result has too gets "_in" (and "_" until it is free), one that begins with "__",
+    as names on the way do, gets "in" before it."""
     results = {c.lower() for c in results}
     taken = results | {c.lower() for c in columns}
     out = []
     for name in columns:
-        if name.lower() in results:
-            name += "_in"
+        if name.lower() in results or name.startswith("__"):
+            name = f"in{name}" if name.startswith("__") else f"{name}_in"
             while name.lower() in taken:
                 name += "_"
             taken.add(name.lower())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import ASCII_LOWER, WORD, bounded_batches, partitions, slices
+from dossier.llm.common import ASCII_LOWER, WORD, bounded_batches, partitions, set_aside, slices
 from dossier.llm.components import components
 from dossier.session import written
 
@@ -266,7 +266,7 @@ def one_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
     """One row of each component: that of the smallest doc_id (null above all),
     and of rows that share it, that of the smallest digest of the whole row. Rows
     alike in all columns count as one."""
-    key = ("__k1", "__k2")
+    docs, key = set_aside(docs, ()), ("__k1", "__k2")
     # Maps have no digest; a null adds nothing to one but its mark.
     names = [F.col(f"`{f.name}`") for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
     own = docs.withColumns({name: F.xxhash64(F.lit(seed), *names, *(c.isNull() for c in names)) for seed, name in enumerate(key)})
