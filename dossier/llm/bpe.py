@@ -1,8 +1,8 @@
 """Token ids of whole texts, with the `tokenizers` file as authority.
 
 A byte-level BPE file is run by a compiled BPE built from that file's own
-vocabulary (the ranks of its merges are its ids), several times faster than the
-library and with the same ids; texts with special strings, and anything out of
+vocabulary, several times faster than the
+library and with the same ids, provided that the ids of its merges ascend; texts with special strings, and anything out of
 the ordinary, go to the library. Other kinds of file go to their library.
 """
 
@@ -37,6 +37,14 @@ def long_run(text: str) -> bool:
     return bool(_maybe.search(text[::_STEP]) and _run.search(text))
 
 
+def ids_ascend(model: dict, special: set[str]) -> bool:
+    """Whether the ids of a BPE file rank its merges, and nothing but merges and letters has one."""
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get(a + b) for a, b in pairs]
+    whole = {a + b for a, b in pairs}
+    return None not in ids and all(x < y for x, y in zip(ids, ids[1:])) and all(len(t) == 1 or t in whole or t in special for t in model["vocab"])
+
+
 class Encoder:
     """ids(text): an array of unsigned 32-bit ids, without begin, end or added
     special tokens; special strings in a text as the library's default has
@@ -61,7 +69,7 @@ class Encoder:
         pre, model, added = kind["pre_tokenizer"] or {}, kind["model"], kind["added_tokens"]
         if (
             model["type"] != "BPE" or kind["normalizer"] or model.get("byte_fallback") or model.get("dropout") or model.get("ignore_merges")
-            or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space")
+            or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or not ids_ascend(model, {t["content"] for t in added})
         ):
             return
         import tiktoken

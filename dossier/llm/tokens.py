@@ -9,6 +9,8 @@ Texts move once, to meet the cache by digest; equal texts of a task are merged
 before that, so a text that fills a third of the table moves once per task.
 The counts then come back by digest alone.
 
+Runs that miss the same text at the same time append it twice; a digest counts once.
+
 Null or empty text: 0 bytes, 0 tokens. Repeated rows keep one result each.
 Null doc_id: kept as null. Columns of other names are ignored.
 """
@@ -70,7 +72,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
             )
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    counted = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # One row a digest, though runs side by side may each have appended it.
+    counted = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     sized = digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(counted, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
