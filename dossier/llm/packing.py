@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from dossier.llm.bpe import encoder
 from dossier.llm.common import bounded_batches, slices
 
-#: Ids that a task gathers before it packs them: 64 MB.
-GROUP_IDS = 16_000_000
+#: Ids (64 MB) and documents (some 200 bytes each) that a task gathers before it packs them.
+GROUP_IDS, GROUP_DOCS = 16_000_000, 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
                 names.append(name)
                 ids.append(np.concatenate((encode(text), end)) if text else end)
                 held += len(ids[-1])
-                if held >= GROUP_IDS:
+                if held >= GROUP_IDS or len(names) >= GROUP_DOCS:
                     yield from packed()
                     names, ids, held = [], [], 0
         yield from packed()
