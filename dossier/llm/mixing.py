@@ -11,20 +11,23 @@ that the expected words are f times the source's; its rank is its random odds
 divided by its inclusion odds, and the sample is of fixed size: the documents
 in rank order whose middle word lies within the words wanted.
 
-The random number is a digest of seed, doc_id and text, so reruns agree. Ranks
+The random number is a digest of seed, doc_id and text, so reruns agree; repeats of a
+row are numbered, and all but the first draw their own from it and their number. Ranks
 are never sorted within a source: words per (source, rank bin) are summed, the bin
 in which the sample ends is found, and only that bin's documents (one in
 thousands) are ranked, which gives each source's last rank. A document is then
 taken if its rank is no larger.
 
 Null or empty text: size 0, kept or not at no cost. Null source: a source of
-its own, the last. Sources without words have target 0. Repeated rows share
-their rank and are taken together. Other columns stay as they are; one named
+its own, the last. Sources without words have target 0. Repeated rows
+are taken or left one by one. Other columns stay as they are; one named
 like a result gets "_in".
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +41,43 @@ RESULTS = ("size", "source_size", "target", "copies")
 BETWEEN = ("wanted", "scale", "last")
 #: More sources than this are joined by shuffle instead of broadcast.
 MOST_BROADCAST = 10_000
+#: Repeats of a row are numbered in so many parts, so that no task numbers them all.
+SALTS = 1024
 
 
 def with_size(docs: DataFrame, seed: int) -> DataFrame:
     """docs with size (words) and __u (a random number of 48 bits)."""
     text = F.coalesce("text", F.lit(""))
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text)))
-    return docs.withColumns({"size": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "__u": F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")})
+    u = _drawn(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))
+    return docs.withColumns({"size": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "__u": u})
+
+
+def _drawn(*parts: Column) -> Column:
+    """48 bits of a digest."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized (written; with __h, a hash of the row, and __salt), with a __u of its own for each
+    repeat of a row. Rows alike in doc_id, text and source are numbered by the rest of the row."""
+    key, part = ["source", "size", "__u"], ["__h", "__salt"]
+    again = written(sized.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "repeated")
+    if again.isEmpty():
+        return sized
+
+    def meet(df: DataFrame, other: DataFrame, on: list[str], how: str) -> DataFrame:
+        few = other.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        other = other.withColumnsRenamed({c: f"__o{c}" for c in on})
+        same = [F.col(c).eqNullSafe(F.col(f"__o{c}")) for c in on]
+        return df.join(F.broadcast(other) if few else other, same, how).drop(*[f"__o{c}" for c in on])
+
+    parts = meet(sized.select(*key, *part), again, key, "left_semi").groupBy(*key, *part).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy(*part)) - F.col("n")  # SALTS rows for each kind of row
+    parts = written(parts.withColumn("__before", before).drop("n"), "repeats")
+    place = F.row_number().over(Window.partitionBy(*key, *part).orderBy("__u"))  # equal rows, in any order
+    repeats = meet(sized, parts, key + part, "inner").withColumn("__n", F.col("__before") + place - 1)
+    repeats = repeats.withColumn("__u", F.when(F.col("__n") == 0, F.col("__u")).otherwise(_drawn(F.col("__u").cast("string"), F.col("__n").cast("string")))).select(*sized.columns)
+    return written(meet(sized, again, key, "left_anti").unionByName(repeats), "numbered")
 
 
 def _weight(size: Column) -> Column:
@@ -102,7 +135,7 @@ def plan_mix(sized: DataFrame, weights: tuple[float, ...], share: float, most: f
     few = plan.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     ranked = _meet(sized.select("source", "size", "__u"), plan.select("source", "scale", "wanted"), few)
     ranked = ranked.withColumn("rank", _rank(F.col("scale"), F.col("size"), F.col("__u"))).where("rank is not null")
-    ranked = ranked.withColumn("bin", F.floor(F.least("rank", F.lit(float(LAST_RANK))) * BINS_PER_UNIT))
+    ranked = ranked.withColumn("bin", F.when(F.col("rank") == 0, -1).otherwise(F.floor(F.least("rank", F.lit(float(LAST_RANK))) * BINS_PER_UNIT)))
     bins = ranked.groupBy("source", "bin", "wanted").agg(F.sum("size").alias("words"), F.max("rank").alias("top"))
     along = Window.partitionBy("source").orderBy("bin")  # as many rows as there are bins
     bins = bins.withColumn("reached", F.sum("words").over(along))
@@ -123,7 +156,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     shown = dict(zip(docs.columns, outward(docs.columns, RESULTS), strict=True))
     inner = dict(zip(docs.columns, outward(docs.columns, [*RESULTS, *BETWEEN]), strict=True))
     docs, names = docs.toDF(*inner.values()), [inner[c] for c in asked]
-    sized = written(with_size(docs, seed).select(*dict.fromkeys([*names, "source", "size", "__u"])), "sizes")
+    # Maps have no hash; a null adds nothing to one but its mark.
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name in names and not re.search("map<|variant", f.dataType.simpleString())]
+    marks = {"__h": F.xxhash64(*hashed, *(c.isNull() for c in hashed)), "__salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")}
+    sized = numbered(written(with_size(docs, seed).withColumns(marks).select(*dict.fromkeys([*names, "source", "size", "__u", *marks])), "sizes"))
     plan, few = plan_mix(sized, weights, share, most)
     rank = F.coalesce(_rank(F.col("scale"), F.col("size"), F.col("__u")), F.lit(float("inf")))
     met = _meet(sized, plan, few).withColumn("copies", F.col("copies") + F.when(rank <= F.col("last"), 1).otherwise(0))
@@ -137,8 +173,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed values of the contract: weights 3, 1, 2; 150 %; at most twice.
 OP7_SQL = r"""
-with sized as (
+with drawn as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, ('0x' || substr(md5('7|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 12))::bigint as u from documents
+), sized as (
+  select * replace (case when row_number() over same = 1 then u else ('0x' || substr(md5(u::varchar || '|' || (row_number() over same - 1)::varchar), 1, 12))::bigint end as u) from drawn window same as (partition by source, size, u)
 ), bits as (select *, length(bin(size)) as q from sized),
 sources as (select source, sum(size)::bigint as source_size from sized group by source),
 weighed as (select *, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w, 2.0::double * source_size as cap from sources),

@@ -1,5 +1,8 @@
 from collections import defaultdict
 
+import pytest
+
+from dossier.llm import mixing
 from dossier.llm.mixing import mix
 
 
@@ -40,9 +43,34 @@ def test_targets_and_taken(spark):
 
 def test_edges(spark):
     rows = [(1, "a b c", "x", 1), (1, "a b c", "x", 2), (None, None, None, 3), (3, "", None, 4), (4, "w " * 5000, "x", 5), (5, "one", "", 6)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").drop("size")
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
     out = mix(d).collect()
-    assert len(out) == 6
+    assert len(out) == 6 and sorted(r.size_in for r in out) == [1, 2, 3, 4, 5, 6]
     assert all(0 <= r.copies <= 2 for r in out)
     empty = mix(d.limit(0))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_repeated_rows_are_taken_one_by_one(spark, few, monkeypatch):
+    """And as the SQL takes them; reruns agree, however the table is dealt."""
+    import duckdb
+    import pandas as pd
+
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", few)
+    monkeypatch.setattr(mixing, "SALTS", 16)
+    rows = [(7, "one two three four five", "a")] * 200 + [(None, "a b", "a")] * 90 + [(k, "w " * (k % 40), "b") for k in range(300)] + [(8, "x y z", None)] * 50 + [(7, "one two three four five", "c")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for parts in (1, 5):
+        out = [(r.doc_id, r.source, r["size"], r.source_size, r.target, r["size"] * r.copies) for r in mix(d.repartition(parts)).collect()]
+        found.append(sorted(out, key=str))
+        assert len(out) == len(rows)
+        for s in {r[1] for r in out}:
+            own = [r for r in out if r[1] == s]
+            assert abs(sum(r[5] for r in own) - own[0][4]) <= max(r[2] for r in own)
+            assert max(r[5] / max(r[2], 1) for r in own) <= 2
+    assert found[0] == found[1]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841
+    plain = duckdb.sql(mixing.OP7_SQL).fetchall()
+    assert sorted(plain, key=str) == sorted([(r[0], *r[2:]) for r in found[0]], key=str)
