@@ -4,8 +4,9 @@ One pass measures each text; nothing but the measures is kept of it. The
 measures, as whole numbers, go into quantile sketches per language and source: a
 value is rounded down to its five leading bits (an error of 1/16 at most), and
 the sketch holds the count of each rounded value. Sketches merge by adding
-counts, in any order, to the same result: a group of fewer than MIN_GROUP
-documents takes its language's merged sketch, and a small language that of all.
+counts, in any order, to the same result: a group of fewer than `min_group`
+documents (a parameter of judge) takes its language's merged sketch, and a language of
+fewer that of all.
 A document is out if a measure lies beyond the group's fence: the upper quartile
 plus FENCE quartile distances plus a slack (below likewise for word length).
 Thresholds then come back to the documents by language and source.
@@ -28,6 +29,7 @@ from dossier.llm.common import SPACE, outward
 from dossier.session import written
 
 SYMBOLS = "#*$%&|<>"
+#: Default of judge's min_group.
 MIN_GROUP = 100
 FENCE = 3
 #: Measure, slack above, slack below (none: no lower fence). Shares are in thousandths, word length in hundredths.
@@ -112,13 +114,13 @@ def quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
     return lists.select(*keys, "measure", "total", at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
-def fences(counts: DataFrame) -> DataFrame:
+def fences(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """lang, source and, for each measure, <measure>_high and, if it has one, <measure>_low."""
     own, lang, every = quartiles(counts, ["lang", "source"]), quartiles(counts, ["lang"]), quartiles(counts, [])
     lang = lang.select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("total", "q1", "q3").alias("by_lang"))
     every = every.select(F.col("measure").alias("e"), F.struct("total", "q1", "q3").alias("by_all"))
     all_ = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(F.broadcast(every), F.col("measure") == F.col("e"))
-    pick = F.when(F.col("total") >= MIN_GROUP, F.struct("total", "q1", "q3")).when(F.col("by_lang.total") >= MIN_GROUP, F.col("by_lang")).otherwise(F.col("by_all"))
+    pick = F.when(F.col("total") >= min_group, F.struct("total", "q1", "q3")).when(F.col("by_lang.total") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
     fence = all_.select("lang", "source", "measure", pick.alias("q")).select("lang", "source", "measure", "q.q1", "q.q3")
 
     def one(measure: str, value: Column, name: str) -> Column:
@@ -132,8 +134,9 @@ def fences(counts: DataFrame) -> DataFrame:
     return fence.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """`columns` of docs (default: all) with the measures, base_failed and kept."""
+def judge(docs: DataFrame, columns: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:
+    """`columns` of docs (default: all) with the measures, base_failed and kept. min_group: the
+    documents that a language and source must have to be judged by quartiles of their own."""
     docs = docs if columns is None else docs.select(*dict.fromkeys([*columns, "lang", "source", "text"]))
     wanted = docs.columns if columns is None else columns
     shown = dict(zip(docs.columns, outward(docs.columns, RESULTS), strict=True))
@@ -141,7 +144,7 @@ def judge(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     docs, names = docs.toDF(*inner.values()), [inner[c] for c in wanted]
     need = list(dict.fromkeys([*names, "lang", "source"]))
     df = written(measured(docs).select(*need, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"), "measures")
-    limits = written(fences(sketches(df)).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{m}_{x}" for m, (_, low) in MEASURES.items() for x in ("high", "low") if x == "high" or low is not None]), "fences")
+    limits = written(fences(sketches(df), min_group).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"{m}_{x}" for m, (_, low) in MEASURES.items() for x in ("high", "low") if x == "high" or low is not None]), "fences")
     few = limits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     joined = df.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
     within = F.lit(True)
