@@ -41,7 +41,8 @@ SEGMENT = "conv_id long, turn long, position long, start long, segment string, l
 #: Sides in pixels of an image's patches, tokens per second of audio, and tokens per page of a document.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 1024
 _escaped = re.compile(r"\\(.)", re.S)
-_turn = re.compile(r"<turn>((?:[^\\<]+|\\.)*)<says>((?:[^\\<]+|\\.|<\w+:\d+>)*)</turn>\n", re.S)
+_piece = re.compile(r"((?:[^\\<]++|\\.)++)|<\w+:(\d+)>", re.S)
+_turn = re.compile(r"<turn>((?:[^\\<]++|\\.)*+)<says>((?:[^\\<]++|\\.|<\w+:\d+>)*+)</turn>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -103,12 +104,22 @@ def format_turn(role: str, parts: list[dict] | None, learn: bool) -> tuple[str,
     return f"{head}{''.join(flat.pieces)}</turn>\n", loss, attachments
 
 
-def parse_turn(segment: str) -> tuple[str, str]:
-    """(role, content); placeholders stay in the content."""
+def parse_parts(segment: str) -> tuple[str, list[str | int]]:
+    """(role, parts): a string for each run of text, the number of its attachment for each
+    placeholder. A text that looks like a placeholder was escaped, so it is a string."""
     found = _turn.fullmatch(segment)
     if not found:
         raise ValueError(f"not a turn: {segment[:80]!r}")
-    return unescape(found[1]), unescape(found[2])
+    parts: list[str | int] = []
+    for text, number in _piece.findall(found[2]):
+        parts.append(int(number) if number else unescape(text))
+    return unescape(found[1]), parts
+
+
+def parse_turn(segment: str) -> tuple[str, str]:
+    """(role, texts one after another), without placeholders."""
+    role, parts = parse_parts(segment)
+    return role, "".join(x for x in parts if isinstance(x, str))
 
 
 def text_part(text: Column) -> Column:
