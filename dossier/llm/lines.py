@@ -196,13 +196,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed values of the contract: 3 documents, 20 code points.
 OP3_SQL = r"""
-with lines as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents
+with rows as (select row_number() over () as n, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents), lines as (
+  select n, doc_id, unnest(l) as line, generate_subscripts(l, 1) as k from rows
 ), keyed as (
   select *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
 ), frequent as (
-  select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+  select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct n) >= 3
 )
 select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by k) filter (not lost), '')) as kept_sha256
-from (select keyed.*, coalesce(last <> doc_id, false) as lost from keyed left join frequent using (key)) group by doc_id
+from (select keyed.*, key in (select key from frequent) and last is distinct from doc_id as lost from keyed left join frequent using (key)) group by n, doc_id
 """
