@@ -63,6 +63,34 @@ def test_tokens(spark, docs):
     assert again == expected and tokens.read_cache(spark, cache).count() == known  # all hits
 
 
+def test_tokens_when_runs_appended_the_same_digests(spark, docs):
+    """A cache that holds rows twice, or of another tokenizer."""
+    cache = scratch(spark, "cache")
+    first = sorted(map(tuple, tokens.count_tokens(docs, TOKENIZER, cache).collect()), key=str)
+    rows = spark.createDataFrame(tokens.read_cache(spark, cache).collect(), tokens.CACHE)
+    rows.unionByName(rows.selectExpr("'other' as tokenizer", "digest", "n_tokens + 1 as n_tokens")).write.mode("append").parquet(cache)
+    assert sorted(map(tuple, tokens.count_tokens(docs, TOKENIZER, cache).collect()), key=str) == first
+    assert len(first) == docs.count()
+
+
+def test_files_whose_ids_do_not_rank_their_merges_go_to_the_library(tmp_path):
+    import json
+
+    from dossier.llm.bpe import Encoder, ids_ascend
+
+    with open(TOKENIZER) as f:
+        kind = json.load(f)
+    special = {t["content"] for t in kind["added_tokens"]}
+    assert ids_ascend(kind["model"], special)
+    kind["model"]["merges"].reverse()
+    assert not ids_ascend(kind["model"], special)
+    path = tmp_path / "reversed.json"
+    path.write_text(json.dumps(kind))
+    e = Encoder(str(path))
+    text = "the merges of this file come in another order"
+    assert e.ids == e._by_library and e.ids(text).tolist() == e.whole(text)
+
+
 def test_token_engine_agrees_with_the_library():
     from dossier.llm.bpe import Encoder
 
@@ -70,7 +98,7 @@ def test_token_engine_agrees_with_the_library():
     odd = ["a  b", "  a", " a ", "a\n\nb", "x <|endoftext|> y", "a\r\nb", "a\xa0b c", "é\x85 x", " ", "it's  'll", "​x", "　a", "x" * 9000 + " " * 500, "\U0001f600 ok", "İx ǆ"]
     for text in odd:
         assert e.ids(text).tolist() == e.whole(text)
-    for k in range(0, 0x11000, 7):
+    for k in range(0, 0x11000, 3):
         if not 0xD800 <= k <= 0xDFFF:
             text = f"a{chr(k)}1 {chr(k)}{chr(k)}!"
             assert e.ids(text).tolist() == e.whole(text), hex(k)
@@ -196,6 +224,19 @@ def test_lines_of_rows_that_share_an_id(spark, hot, monkeypatch):
     assert got == expected
 
 
+def test_line_sql_means_the_same_rows(spark):
+    """The registered SQL and the operator agree on rows with null and repeated doc_ids."""
+    import duckdb
+    import pandas as pd
+
+    common, own = "a line that many documents share", "a line of this document alone, number "
+    texts = [(None, f"{common}\n{own}1"), (None, f"{own}2\n{common}\n{own}3"), (5, f"{own}5\n{common}"), (5, f"{common}\n{own}6\n{common}"), (7, f"{own}7\n{common}"), (7, None), (8, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in lines.drop_lines(d).collect()]
+    documents = pd.DataFrame(texts, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    assert sorted(duckdb.sql(lines.OP3_SQL).fetchall(), key=str) == sorted(got, key=str)
+
+
 def test_perfect_hash():
     from dossier.llm.perfecthash import LineIndex, PerfectHash
 
@@ -297,9 +338,11 @@ def test_substrings_compares_words_when_hashes_collide(docs, monkeypatch):
     assert repeats.tolist() == [bool(first[tuple(say[a : a + 13])] < ids[w.text[a]]) for a in at]
 
 
-def test_packing(docs):
+@pytest.mark.parametrize("group_docs", [250_000, 4])
+def test_packing(docs, group_docs, monkeypatch):
     from dossier.llm.bpe import encoder
 
+    monkeypatch.setattr(packing, "GROUP_DOCS", group_docs)
     e = encoder(TOKENIZER)
     ids = {i: np.append(e.ids(t) if t else np.zeros(0, np.uint32), np.uint32(1)).astype("<u4") for i, t, *_ in fixture()}
     pieces = packing.pack_documents(docs, TOKENIZER).collect()

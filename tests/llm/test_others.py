@@ -48,6 +48,17 @@ def test_typed_parts(spark):
     assert chat.digest_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_text_that_looks_like_a_placeholder_is_no_part():
+    text = {"type": "text", "text": "<image:0>", "uri": None, "width": None, "height": None, "seconds": None, "pages": None}
+    image = text | {"type": "image", "text": None, "uri": "a.png"}
+    segment = chat.format_turn("user", [text, image, text, image], False)[0]
+    assert chat.parse_parts(segment) == ("user", ["<image:0>", 0, "<image:0>", 1])
+    assert chat.parse_turn(segment) == ("user", "<image:0><image:0>")
+    long = "\\<\\" * 400_000
+    segment = chat.format_turn("user", [text | {"text": long}], True)[0]
+    assert chat.parse_turn(segment) == ("user", long)
+
+
 def test_held_out_pages():
     model = extraction.classifier()
     right = total = 0
@@ -185,6 +196,17 @@ def test_measures(spark, rows):
         assert r.base_failed == (got[0] < 50 or 100 * got[4] > 50 * got[0]) and not (r.base_failed and r.kept)
 
 
+def test_min_group_is_a_parameter(spark):
+    """A source of 40 with longer words than the rest: out by its language's fences, in by its own."""
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(n)) for _ in range(80))
+    rows = [(k, say(4), "en", "a") for k in range(200)] + [(1000 + k, say(12), "en", "b") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = lambda **x: {s: n for s, n in quality.judge(df, ["source"], **x).where("kept").groupBy("source").count().collect()}
+    assert kept() == kept(min_group=41) == {"a": 200}
+    assert kept(min_group=40) == {"a": 200, "b": 40}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     center = rng.normal(size=16)
@@ -280,7 +302,7 @@ def test_columns_named_like_results_stay(spark):
     from dossier.llm.mixing import mix
     from dossier.session import written
 
-    names = ["kept", "n_words", "word_chars", "n_lines", "n_dropped", "Size", "source_size", "target", "copies", "wanted", "scale", "last", "word_length_low", "base_failed", "kept_in"]
+    names = ["kept", "n_words", "word_chars", "n_lines", "n_dropped", "Size", "source_size", "target", "copies", "wanted", "scale", "last", "word_length_low", "base_failed", "kept_in", "__k1", "__u", "__id", "in__u"]
     plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = plain.selectExpr("*", *[f"concat({k}, '-', doc_id) as `{x}`" for k, x in enumerate(names)])
     for op, result in ((quality.judge, "kept"), (drop_lines, "n_dropped"), (mix, "copies")):
