@@ -1,12 +1,16 @@
-"""Dollar amounts, financial line items and events, JVM-side."""
+"""Dollar amounts, financial line items and events. Whole texts are searched in one trip to
+Python; amounts are parsed from what was found, JVM-side."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import fixed
 from dossier.functions.pylike import strip
+from dossier.functions.search import Finder, lowered
 
 #: Case-insensitive, Unicode classes, and a dot that excludes line feeds only.
 FLAGS = "(?iUd)"
@@ -29,35 +33,41 @@ def dollars(snippet: Column, trim_dots: bool) -> Column:
     return digits.try_cast("double") * scale
 
 
-def line_item(text: Column, pattern: str) -> tuple[Column, Column]:
-    """(matched text, dollars)."""
-    return strip(_first(text, pattern, 0)), dollars(_first(text, pattern, 1), False)
+FOUND = T.StructType([T.StructField(n, T.StringType()) for n in ("revenue", "net_income", "cash", "eps", "event")])
+FOUND_TYPE = pa.struct([(f.name, pa.string()) for f in FOUND])
+_items = {
+    "revenue": Finder(fixed.REVENUE, "revenue", "sales"), "net_income": Finder(fixed.NET_INCOME, "income", "loss"), "cash": Finder(fixed.CASH, "equivalent"),
+    "eps": Finder(fixed.EPS, "diluted"), "event": Finder(fixed.EXECUTIVE, "departure", "appoint", "resignation", "retired"),
+}
 
 
-def eps(text: Column) -> Column:
-    return F.regexp_replace(_first(text, fixed.EPS, 1), r"\.+$", "").try_cast("double")
+def find_financials(text: str) -> dict[str, str | None]:
+    """The first statement of each item: what matched; of earnings per share the number; of an
+    event the text around it, on one line."""
+    low = lowered(text)
+    found = {name: finder.first(text, low) for name, finder in _items.items()}
+    out = {name: m and (m[1] if name == "eps" else m[0]) for name, m in found.items()}
+    if m := found["event"]:
+        out["event"] = text[max(0, m.start() - fixed.EXECUTIVE_BEFORE) : m.end() + fixed.EXECUTIVE_AFTER].replace("\n", " ").strip()
+    return out
 
 
-def executive_event(text: Column) -> Column:
-    """The first event, with the characters around it, on one line."""
-    event = _first(text, fixed.EXECUTIVE, 0)
-    before = F.length(F.regexp_extract(text, FLAGS + f"(?s)^(.*?)(?:{fixed.EXECUTIVE})", 1))
-    start = F.greatest(before - fixed.EXECUTIVE_BEFORE, F.lit(0))
-    window = F.substring(text, start + 1, before - start + F.length(event) + fixed.EXECUTIVE_AFTER)
-    return F.when(event.isNotNull(), strip(F.replace(window, F.lit("\n"), F.lit(" "))))
+@F.arrow_udf(FOUND)
+def financial_matches(text: pa.Array) -> pa.Array:
+    return pa.array([find_financials(x or "") for x in text.to_pylist()], FOUND_TYPE)
 
 
 def business_sample(section: Column) -> Column:
     return strip(F.replace(F.substring(section, 1, fixed.BUSINESS_CHARS), F.lit("\n"), F.lit(" ")))
 
 
-def with_financials(df: DataFrame, text: str = "text", sections: str | None = None) -> DataFrame:
-    """df with FINANCIALS; null where a filing doesn't say. sections: a map column of name to text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    # Each whole text is searched once per item; amounts are parsed from what was found.
-    found = {f"__{k}": F.regexp_extract(t, FLAGS + p, 0) for k, p in enumerate((fixed.REVENUE, fixed.NET_INCOME, fixed.CASH))}
-    df = df.withColumns(found | {"__eps": eps(t), "__event": executive_event(t)})
-    item = lambda k: F.nullif(F.col(f"__{k}"), F.lit(""))
+def with_financials(df: DataFrame, text: str = "text", sections: str | None = None, found: str | None = None) -> DataFrame:
+    """df with FINANCIALS; null where a filing doesn't say. sections: a map column of name to text;
+    found: a column of FOUND, where the text was searched already."""
+    if found is None:
+        df = df.withColumn("__found", financial_matches(F.col(text)))
+    f = F.col(found or "__found")
     sample = business_sample(F.try_element_at(F.col(sections), F.lit("ITEM_1_BUSINESS"))) if sections else F.lit(None).cast("string")
-    values = (strip(item(0)), dollars(item(0), False), strip(item(1)), dollars(item(1), False), F.col("__eps"), dollars(item(2), False), F.col("__event"), sample)
-    return df.withColumns(dict(zip(FINANCIALS, values, strict=True))).drop(*found, "__eps", "__event")
+    eps = F.regexp_replace(f["eps"], r"\.+$", "").try_cast("double")
+    values = (strip(f["revenue"]), dollars(f["revenue"], False), strip(f["net_income"]), dollars(f["net_income"], False), eps, dollars(f["cash"], False), f["event"], sample)
+    return df.withColumns(dict(zip(FINANCIALS, values, strict=True))).drop(found or "__found")

@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 
 from dossier.functions import fixed
 from dossier.functions.money import dollars
+from dossier.functions.search import Finder, lowered
 
 MATCH = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("pattern", "start") else T.StringType()) for n in ("pattern", "start", "target", "price", "context")]))
 DEAL = ["seller_target_name", "transaction_type", "purchase_price_usd", "consideration_type", "context_summary"]
-_deals = [re.compile(p, re.I) for p, _ in fixed.DEALS]
+_needs = [("acquire", "purchase"), ("entered",), ("completed",), ("purchas", "procured", "buy"), ("agreement", "contract")]
+_deals = [Finder(p, *needs) for (p, _), needs in zip(fixed.DEALS, _needs, strict=True)]
 _tail = re.compile(fixed.TRAILING_WORD, re.I)
 DEAL_TYPE = pa.list_(pa.struct([("pattern", pa.int32()), ("start", pa.int32()), ("target", pa.string()), ("price", pa.string()), ("context", pa.string())]))
 
@@ -27,9 +29,9 @@ DEAL_TYPE = pa.list_(pa.struct([("pattern", pa.int32()), ("start", pa.int32()),
 def find_deals(text: str) -> list[dict]:
     """Matches by pattern, then by place; of a name, in any case, the first."""
     seen: set[str] = set()
-    out = []
-    for k, pattern in enumerate(_deals):
-        for m in pattern.finditer(text):
+    out, low_text = [], lowered(text)
+    for k, finder in enumerate(_deals):
+        for m in finder.every(text, low_text):
             target = _tail.sub("", m[1].strip())
             low = target.lower()
             if len(target) < 3 or low in fixed.NO_TARGETS or low in seen:

@@ -6,23 +6,24 @@ code points), so this is an Arrow UDF over whole batches.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions import fixed
+from dossier.functions.search import Finder, lowered
 
 SECTIONS = T.MapType(T.StringType(), T.StringType())
-_patterns = {name: re.compile(p, re.I) for name, p in fixed.SECTION_PATTERNS.items()}
+_needs = {"ITEM_1_BUSINESS": "business", "ITEM_1A_RISK_FACTORS": "1a", "ITEM_7_MDA": "discussion", "ITEM_8_FINANCIALS": "statements", "PART1_ITEM2_MDA": "discussion", "PART2_ITEM1A_RISK": "1a", "ITEM_202_EARNINGS": "2.02"}
+_patterns = {name: Finder(p, _needs[name]) for name, p in fixed.SECTION_PATTERNS.items()}
 
 
 def split_sections(text: str) -> dict[str, str]:
     """From each header to the next of any kind; a name that comes again holds its
     last slice of enough length, in the place of its first."""
-    starts = sorted(((m.start(), name) for name, p in _patterns.items() for m in p.finditer(text)), key=lambda x: x[0])
+    low = lowered(text)
+    starts = sorted(((m.start(), name) for name, finder in _patterns.items() for m in finder.every(text, low)), key=lambda x: x[0])
     ends = [at for at, _ in starts[1:]] + [len(text)] * bool(starts)
     found: dict[str, str] = {}
     for (at, name), end in zip(starts, ends, strict=True):

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier.session import spread
+
 VIEWS = {
     "companies": """select lpad(cast(c_custkey as {s}), 10, '0') as cik, upper(concat('t', cast(c_custkey as {s}))) as ticker, c_name as company_name from customer""",
     "filings": """select concat(lpad(cast(o_custkey as {s}), 10, '0'), '-', substring(cast(cast(o_orderdate as date) as {s}), 3, 2), '-', lpad(cast(o_orderkey as {s}), 6, '0')) as accession_number,
@@ -42,8 +44,17 @@ def _needs(sql: str) -> list[str]:
     return [t for t in [*BASE, *VIEWS] if re.search(rf"\bfrom {t}\b|\bjoin {t}\b", sql)]
 
 
+#: Views whose texts cost far more to work on than to read.
+TEXTS = {"documents", "pages", "filing_text", "doc_lexicon", "deal_text"}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, or a fixture view over them."""
+    """A base table, or a fixture view over them, on all cores if it has texts."""
+    df = _view(spark, sf_dir, name)
+    return spread(df) if name in TEXTS else df
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return query(spark, sf_dir, VIEWS[name])
@@ -54,7 +65,7 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = sql.replace("{s}", "string")
     for n in names:
         text = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}} as {n}", text)
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in names})
+    return spark.sql(text, **{n: _view(spark, sf_dir, n) for n in names})
 
 
 def oracle(sql: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.catalog import Catalog
-from dossier.functions.money import FINANCIALS, with_financials
+from dossier.functions.money import FINANCIALS, FOUND, FOUND_TYPE, find_financials, with_financials
 from dossier.functions.pylike import hash_id, py_str
 from dossier.functions.textstats import COUNTS, RATIOS, with_metrics
 from dossier.operators.cleaning import clean
@@ -22,15 +22,15 @@ from dossier.session import written
 from dossier.sources.edgar import read_archive
 
 
-PARSED = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("deals", MATCH)])
+PARSED = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("deals", MATCH), T.StructField("found", FOUND)])
 
 
 @F.arrow_udf(PARSED)
 def parse_filing(raw: pa.Array) -> pa.Array:
-    """Clean text, sections and deals of a batch, in one trip to Python."""
+    """Clean text, sections, deals and financial statements of a batch, in one trip to Python."""
     texts = [clean(x or "") for x in raw.to_pylist()]
     sections = pa.array([list(split_sections(x).items()) for x in texts], pa.map_(pa.string(), pa.string()))
-    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), sections, pa.array([find_deals(x) for x in texts], DEAL_TYPE)], ["clean_text", "sections", "deals"])
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), sections, pa.array([find_deals(x) for x in texts], DEAL_TYPE), pa.array([find_financials(x) for x in texts], FOUND_TYPE)], ["clean_text", "sections", "deals", "found"])
 
 
 # So that the filter on its result isn't pushed below it, which would run it twice.
@@ -42,7 +42,7 @@ def enrich(raw: DataFrame) -> DataFrame:
     Documents without text go: they stay ungraded."""
     rest = [c for c in raw.columns if c != "raw"]
     df = raw.withColumn("__p", parse_filing("raw")).where("__p.clean_text <> ''").select(*rest, "__p.*")
-    df = with_financials(with_metrics(df, "clean_text"), "clean_text", "sections")
+    df = with_financials(with_metrics(df, "clean_text"), sections="sections", found="found")
     return with_grade(df, F.map_keys("sections"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dossier.catalog import Catalog, backfill_forms
 from dossier.functions import fixed
-from dossier.functions.money import business_sample, dollars, eps, executive_event, line_item
+from dossier.functions.money import business_sample, dollars, with_financials
 from dossier.functions.pylike import archive_path, falsy, filing_url, hash_id, pad_cik, py_round
 from dossier.functions.textstats import COUNTS, RATIOS, syllables, with_metrics, words
 from dossier.operators.cleaning import clean_html, normalize_lines
@@ -304,8 +304,6 @@ QUERIES["syllables"], SQL["syllables"] = QUERIES.pop("syllables_query"), SQL.pop
 @case(f"with {STATS} " + " union all ".join(f"select doc_id, '{c}' as metric_name, {c}::double as metric_value, {c}::varchar as text_value from stats" for c in COUNTS + RATIOS))
 def metrics_eav(s, d):
     df = with_metrics(view(s, d, "doc_lexicon"))
-    from dossier.functions.money import with_financials
-
     return metric_rows(with_financials(df), ["doc_id"]).where(F.col("metric_name").isin(*COUNTS, *RATIOS))
 
 
@@ -342,8 +340,7 @@ def item_case(name: str, pattern: str, column: str, with_text: bool) -> None:
     text = f"case when regexp_matches(text, '{p}') then trim(regexp_extract(text, '{p}', 0), E' \\n') end as {column}_text, " if with_text else ""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        t, usd = line_item(F.col("text"), pattern)
-        return view(s, d, "filing_text").select("accession_number", *([t.alias(f"{column}_text")] if with_text else []), usd.alias(f"{column}_usd"))
+        return with_financials(view(s, d, "filing_text")).select("accession_number", *([f"{column}_text"] if with_text else []), f"{column}_usd")
 
     QUERIES[name], SQL[name] = run, oracle(f"select accession_number, {text}{number} from filing_text")
 
@@ -355,12 +352,12 @@ item_case("cash", fixed.CASH, "cash_and_equivalents", False)
 
 @case(f"select accession_number, try_cast(regexp_replace(regexp_extract(text, '(?i){fixed.EPS}', 1), '\\.+$', '') as double) as eps_diluted from filing_text")
 def eps_diluted(s, d):
-    return view(s, d, "filing_text").select("accession_number", eps(F.col("text")).alias("eps_diluted"))
+    return view(s, d, "filing_text").transform(with_financials).select("accession_number", "eps_diluted")
 
 
 @case(f"select accession_number, nullif(trim(replace(regexp_extract(text, '(?is).{{0,50}}?(?:{fixed.EXECUTIVE}).{{0,250}}', 0), chr(10), ' ')), '') as executive_event_summary from filing_text")
 def exec_event(s, d):
-    return view(s, d, "filing_text").select("accession_number", executive_event(F.col("text")).alias("executive_event_summary"))
+    return view(s, d, "filing_text").transform(with_financials).select("accession_number", "executive_event_summary")
 
 
 SLICES = """cut as (

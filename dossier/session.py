@@ -27,6 +27,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "dos
     )
 
 
+def spread(df: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:
+    """df, dealt to all cores where it is small: a file of one row group is one task, which is too
+    few for costly work row by row. A large table has tasks for all cores, and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
     and all runs on one machine, as in tests, one of our own."""
