@@ -1,68 +1,140 @@
-"""Tables in a folder: Parquet, one folder per version, the newest complete one counts."""
+"""Tables in a folder: Parquet files in buckets by key, and a manifest per version.
+
+A manifest names, for each bucket, the folders that hold its rows; the newest one
+counts, and it is written last, so a write that breaks off leaves the table as it was.
+An upsert rewrites only the buckets that its rows fall in, and one that never
+updates (conflicts keep the old row) only adds files. A bucket of too many
+folders is written anew as one.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.operators.merge import merge_upsert
+from dossier.operators.merge import first_rows, merge_upsert
 from dossier.schemas import TABLES
+from dossier.session import delete, recorded, written
 
 #: Versions that stay, so that running readers keep their files.
 KEPT_VERSIONS = 2
+#: Folders of a bucket before they are written as one.
+MOST_FOLDERS = 16
 
 
 class Catalog:
-    """Any folder that Spark can write. One writer at a time per table."""
+    """Any folder that Spark can write. One writer at a time per table. buckets: of tables
+    that are written for the first time; more for larger ones."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 4):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _files(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _names(self, path: str) -> list[str]:
+        fs, at = self._files(path)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
     def versions(self, name: str) -> list[int]:
-        fs, at = self._files(f"{self.root}/{name}")
-        if not fs.exists(at):
-            return []
-        found = [s.getPath() for s in fs.listStatus(at)]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(path(p, "_SUCCESS")))
+        return sorted(int(x[1:-5]) for x in self._names(f"{self.root}/{name}") if x.startswith("m") and x.endswith(".json"))
+
+    def _manifest(self, name: str, version: int = 0) -> dict:
+        """buckets: their number; parts: [bucket, folder] of all that has rows."""
+        version = version or max(self.versions(name), default=0)
+        if not version:
+            return {"buckets": self.buckets, "parts": []}
+        fs, at = self._files(f"{self.root}/{name}/m{version}.json")
+        stream = fs.open(at)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, name: str, manifest: dict) -> None:
+        version = max(self.versions(name), default=0) + 1
+        fs, part = self._files(f"{self.root}/{name}/.m{version}-{uuid.uuid4().hex[:8]}")
+        stream = fs.create(part, False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        _, at = self._files(f"{self.root}/{name}/m{version}.json")
+        if not fs.rename(part, at):
+            raise RuntimeError(f"{name} was written by another writer")
+        versions = self.versions(name)
+        for old in versions[:-KEPT_VERSIONS]:
+            fs.delete(self._files(f"{self.root}/{name}/m{old}.json")[1], False)
+        kept = {folder for v in versions[-KEPT_VERSIONS:] for _, folder in self._manifest(name, v)["parts"]}
+        delete(self.spark, [f"{self.root}/{name}/{x}" for x in self._names(f"{self.root}/{name}") if x.startswith("d") and x not in kept])
+
+    def _bucket(self, name: str, buckets: int):
+        return F.pmod(F.xxhash64(*[F.col(k) for k in TABLES[name].key]), F.lit(buckets)).cast("int")
+
+    def _put(self, name: str, df: DataFrame, buckets: int) -> list[list]:
+        """Writes df to a folder of its own, a file per bucket; the parts that it has."""
+        folder = f"d{uuid.uuid4().hex[:12]}"
+        rows = df.select(*TABLES[name].schema.fieldNames()).withColumn("__b", self._bucket(name, buckets))
+        rows.repartition("__b").write.partitionBy("__b").parquet(f"{self.root}/{name}/{folder}")
+        return [[int(x[4:]), folder] for x in self._names(f"{self.root}/{name}/{folder}") if x.startswith("__b=")]
+
+    def _parts(self, name: str, parts: list[list]) -> DataFrame:
+        schema = TABLES[name].schema
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}/{folder}/__b={b}" for b, folder in parts])
 
     def read(self, name: str) -> DataFrame:
         """The table; empty if it was never written. Columns added since are null."""
-        schema, versions = TABLES[name].schema, self.versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{versions[-1]}")
+        return self._parts(name, self._manifest(name)["parts"])
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = max(self.versions(name), default=0) + 1
-        df.select(*TABLES[name].schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        for old in self.versions(name)[:-KEPT_VERSIONS]:
-            fs, at = self._files(f"{self.root}/{name}/v{old}")
-            fs.delete(at, True)
+        """The whole table anew."""
+        n = self._manifest(name)["buckets"]
+        self._commit(name, {"buckets": n, "parts": self._put(name, df, n)})
+
+    def tables(self) -> DataFrame:
+        """table_name of the tables that were written."""
+        return self.spark.createDataFrame([(n,) for n in sorted(TABLES) if self.versions(n)], "table_name string")
 
     def init(self) -> None:
         """Creates what is missing; running it again changes nothing but empty forms (back-filled)."""
         for name in TABLES:
             if not self.versions(name):
                 self.write(name, self.read(name))
-        if not self.read("filing_documents").where("form is null or form = ''").isEmpty():
-            self.write("filing_documents", backfill_forms(self.read("filing_documents"), self.read("filings")))
+        empty = self.read("filing_documents").where("form is null or form = ''")
+        if not empty.isEmpty():
+            self.upsert("filing_documents", backfill_forms(empty, self.read("filings")))
 
     def upsert(self, name: str, rows: DataFrame, seq: str | None = None) -> int:
         """Returns the rows attempted, as the counts of the journal are."""
-        table, n = TABLES[name], rows.count()
-        if n:
-            old = self.read(name)
-            full = rows.select(*[c for c in rows.columns if c in old.columns or c == seq], *[F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema if f.name not in rows.columns])
-            self.write(name, merge_upsert(old, full, table.key, table.updates, seq))
-        return n
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        table, manifest = TABLES[name], self._manifest(name)
+        schema, n = table.schema, manifest["buckets"]
+        given = [F.col(c).cast(schema[c].dataType).alias(c) if c in schema.fieldNames() else F.col(c) for c in rows.columns if c in schema.fieldNames() or c == seq]
+        absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in rows.columns]
+        with recorded() as made:
+            source = written(rows.select(*given, *absent), "upsert")  # its plan runs once
+            touched = dict(source.groupBy(self._bucket(name, n)).count().collect())  # n rows at most
+            if touched:
+                there = [p for p in manifest["parts"] if p[0] in touched]
+                if table.updates:
+                    merged = merge_upsert(self._parts(name, there), source, table.key, table.updates, seq)
+                    parts = [p for p in manifest["parts"] if p[0] not in touched] + self._put(name, merged, n)
+                else:
+                    known = self._parts(name, there).select(*[F.col(k).alias(f"__{k}") for k in table.key])
+                    new = first_rows(source, schema.fieldNames(), table.key, seq).join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in table.key], "left_anti")
+                    parts = manifest["parts"] + self._put(name, new, n)
+                self._commit(name, {"buckets": n, "parts": self._compact(name, parts, n)})
+        delete(self.spark, made)
+        return sum(touched.values())
+
+    def _compact(self, name: str, parts: list[list], buckets: int) -> list[list]:
+        many = {b for b, _ in parts if sum(x == b for x, _ in parts) > MOST_FOLDERS}
+        if not many:
+            return parts
+        return [p for p in parts if p[0] not in many] + self._put(name, self._parts(name, [p for p in parts if p[0] in many]), buckets)
 
     def counts(self) -> DataFrame:
         """table_name, n_rows of all eight tables; 0 for missing ones."""

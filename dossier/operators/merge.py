@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _in_order(columns: list[str], seq: str | None) -> tuple[Column, Column]:
+    """A row as a struct, and what rows of one key are ordered by."""
+    rows = F.struct(*[F.col(c) for c in columns])
+    return rows, F.struct(F.col(seq).alias("seq"), rows.alias("row")) if seq else rows
+
+
+def first_rows(source: DataFrame, columns: list[str], key: tuple[str, ...], seq: str | None = None) -> DataFrame:
+    """The first row of each key, in the order of merge_upsert."""
+    rows, order = _in_order(columns, seq)
+    return source.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min_by(rows, order).alias("first")).select("first.*")
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, key: tuple[str, ...], updates: tuple[str, ...], seq: str | None = None) -> DataFrame:
-    """target after source's rows were upserted one by one, in the order of `seq`.
+    """target after source's rows were upserted one by one, in the order of `seq`; rows
+    of one key that it doesn't tell apart (all, without it) in the order of their columns.
 
     A conflict on the key overwrites `updates`; without any, the old row stays. A
     new key takes its first row, and then the updates of its last. Rows with a null
@@ -15,8 +28,7 @@ def merge_upsert(target: DataFrame, source: DataFrame, key: tuple[str, ...], upd
     second run changes nothing. One shuffle per side, on the key.
     """
     columns = target.columns
-    order = F.col(seq) if seq else F.lit(0)
-    rows = F.struct(*[F.col(c) for c in columns])
+    rows, order = _in_order(columns, seq)
     batch = source.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min_by(rows, order).alias("first"), F.max_by(rows, order).alias("last"))
     same = None
     for k in key:

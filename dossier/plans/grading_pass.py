@@ -22,6 +22,8 @@ from dossier.session import written
 from dossier.sources.edgar import read_archive
 
 
+#: Roots of raw documents that one pass reads.
+MOST_ARCHIVES = 1000
 PARSED = T.StructType([T.StructField("clean_text", T.StringType()), T.StructField("sections", SECTIONS), T.StructField("deals", MATCH), T.StructField("found", FOUND)])
 
 
@@ -65,18 +67,24 @@ def run_grading_pass(catalog: Catalog, as_of: Column, most: int = 50) -> DataFra
     merged last, so a pass that broke off is simply repeated."""
     catalog.init()
     read = catalog.read
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
     todo = written(ungraded(read("filing_documents"), read("filings"), read("companies"), read("filing_grades"), most), "worklist")
-    paths = [r.raw_file_path for r in todo.select("raw_file_path").distinct().collect()] if most > 0 else None
     if todo.isEmpty():
         return catalog.spark.createDataFrame([], "ticker string, form string, accession_number string, " + ", ".join(f"{c} {'string' if c in ('overall_grade', 'summary_notes') else 'double'}" for c in SCORES))
-    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    files = read_archive(catalog.spark, paths if paths is not None else f"{catalog.root}/../raw").withColumn("__path", plain(F.col("raw_file_path"))).drop("raw_file_path")
+    # The documents themselves if they are few; else the archives that hold them.
+    places = todo.select("raw_file_path") if most > 0 else todo.select(F.regexp_replace("raw_file_path", "/filing_document/.*$", "/filing_document"))
+    paths = [r[0] for r in places.distinct().limit(max(most, MOST_ARCHIVES) + 1).collect()]
+    if len(paths) > max(most, MOST_ARCHIVES):
+        raise ValueError(f"documents lie in over {MOST_ARCHIVES} archives: grade them in passes of `most`")
+    files = read_archive(catalog.spark, paths).withColumn("__path", plain(F.col("raw_file_path"))).drop("raw_file_path")
     # A table, not a cache: four merges read it, and it survives lost executors.
     done = written(enrich(todo.withColumn("__path", plain(F.col("raw_file_path"))).join(files, "__path").drop("__path")), "enriched")
     return store(catalog, done, as_of)
 
 
-def store(catalog: Catalog, done: DataFrame, as_of: Column) -> DataFrame:
+def store(catalog: Catalog, done: DataFrame, as_of: Column, run: str | None = None) -> DataFrame:
+    """Merges what enrich() made into the four tables. run: names the pass in the journal, which
+    holds a pass that is repeated under its name once."""
     acc = F.col("accession_number")
     times = {"filing_id": hash_id("filing", acc), "extracted_at": as_of}
     sections = section_rows(done.select("accession_number", "document_name", "sections"))
@@ -88,10 +96,10 @@ def store(catalog: Catalog, done: DataFrame, as_of: Column) -> DataFrame:
     catalog.upsert("filing_transactions", deals.withColumns({"transaction_id": hash_id("transaction", acc, F.col("seller_target_name")), **times}), "document_name")
     grades = done.select("accession_number", "document_name", "cik", "ticker", "form", *SCORES).withColumns({"grade_id": hash_id("grade", acc), "filing_id": hash_id("filing", acc), "graded_at": as_of})
     n = catalog.upsert("filing_grades", grades, "document_name")
-    journal(catalog, "run_grading_pass", n, as_of)
+    journal(catalog, "run_grading_pass", n, as_of, run)
     return done.select("ticker", "form", "accession_number", *SCORES)
 
 
-def journal(catalog: Catalog, action: str, items: int, as_of: Column) -> None:
-    row = catalog.spark.range(1).select(F.lit(uuid.uuid4().hex[:8]).alias("id"), F.lit(action).alias("action"), F.lit(items).cast("int").alias("items_synced"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"), as_of.alias("created_at"))
-    catalog.append("sync_log", row)
+def journal(catalog: Catalog, action: str, items: int, as_of: Column, run: str | None = None) -> None:
+    row = catalog.spark.range(1).select(F.lit(run or uuid.uuid4().hex[:8]).alias("id"), F.lit(action).alias("action"), F.lit(items).cast("int").alias("items_synced"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"), as_of.alias("created_at"))
+    catalog.upsert("sync_log", row)

@@ -24,6 +24,7 @@ from dossier.operators.sections import extract_sections, section_rows
 from dossier.plans import worklists
 from dossier.plans.fixtures import oracle, query, view
 from dossier.plans.grading_pass import enrich, metric_rows
+from dossier.schemas import TABLES
 from dossier.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,13 +121,23 @@ def top_transactions(s, d):
     return worklists.top_transactions(view(s, d, "filing_transactions"))
 
 
-@case("select 'companies' as table_name, count(*) as n_rows from companies union all select 'filings', count(*) from filings union all select 'filing_documents', count(*) from filing_documents union all select 'filing_grades', count(*) from filing_grades union all select 'sync_log', 0")
+@case("select 'companies' as table_name, count(*) as n_rows from companies union all select 'filings', count(*) from filings union all select 'filing_documents', count(*) from filing_documents union all select 'filing_grades', count(*) from filing_grades union all select 'filing_transactions', count(*) from filing_transactions union all select unnest(['sync_log', 'filing_sections', 'filing_metrics']), 0")
 def table_counts(s, d):
     """Through the catalog: tables that were never written count 0."""
+    return _some_tables(s, d).counts()
+
+
+@case("select unnest(['companies', 'filing_documents', 'filing_grades', 'filing_transactions', 'filings']) as table_name")
+def table_listing(s, d):
+    """The tables that were written."""
+    return _some_tables(s, d).tables()
+
+
+def _some_tables(s, d) -> Catalog:
     c = Catalog(s, scratch(s, "tables"))
-    for name in ("companies", "filings", "filing_documents", "filing_grades"):
+    for name in ("companies", "filings", "filing_documents", "filing_grades", "filing_transactions"):
         c.upsert(name, view(s, d, name))
-    return c.counts().where(F.col("table_name").isin("companies", "filings", "filing_documents", "filing_grades", "sync_log"))
+    return c
 
 
 @case("select d.accession_number, case when coalesce(d.form, '') = '' then coalesce(f.form, d.form) else d.form end as form from filing_documents d left join filings f on f.accession_number = d.accession_number")
@@ -176,6 +187,51 @@ def attempted_counts(s, d):
     return c.read("companies").agg(F.count("*").alias("n")).select(F.lit("stored").alias("what"), "n").unionByName(s.range(1).select(F.lit("attempted").alias("what"), F.lit(n).cast("long").alias("n")))
 
 
+# Merges of the eight tables themselves, with their keys and conflict policies: two batches
+# through the catalog, the second with repeated keys.
+
+_MADE = {"string": "concat('{c}', cast(seq % {m} as {s}))", "double": "cast(seq % {m} as double) / 4", "int": "cast(seq % {m} as int)", "bigint": "cast(seq % {m} as bigint)", "date": "cast(day as date)", "timestamp": "cast(day as timestamp)"}
+_SEQ = "select row_number() over (order by o_orderkey) as seq, o_orderdate as day from orders"
+
+
+def _batch(name: str, keys: str, where: str) -> str:
+    """All columns of a table, made from seq; equal keys for equal `keys`."""
+    fields = [f.split(" ") for f in TABLES[name].ddl.split(", ")]
+    key = {c: f"concat('{c}', cast({keys} % {n} as {{s}}))" for n, c in zip((7919, 5), TABLES[name].key)}
+    return f"select {', '.join(f'{key.get(c) or _MADE[t].format(c=c, m=90 + k, s='{s}')} as {c}' for k, (c, t) in enumerate(fields))}, seq from ({_SEQ}) where {where}"
+
+
+def upsert_case(name: str) -> None:
+    table = TABLES[name]
+    columns, by = table.schema.fieldNames(), ", ".join(table.key)
+    batches = [_batch(name, "seq", "seq % 3 = 0"), _batch(name, "(seq * 7 + 1)", "seq % 2 = 0")]
+    on = lambda x: " and ".join(f"o.{k} = {x}.{k}" for k in table.key)
+    ctes, before = [], None
+    for k, batch in enumerate(batches):
+        ctes.append(f"x{k} as ({batch})")
+        ctes += [f"{n}{k} as (select * from (select *, row_number() over (partition by {by} order by seq {o}) as r from x{k}) where r = 1)" for n, o in (("first", ""), ("last", "desc"))]
+        take = [f"y.{c}" if c in table.updates else f"x.{c}" for c in columns]
+        fresh = f"select {', '.join(f'{t} as {c}' for t, c in zip(take, columns))} from first{k} x join last{k} y on {' and '.join(f'x.{c} = y.{c}' for c in table.key)}"
+        if before is None:
+            ctes.append(f"t{k} as ({fresh})")
+        else:
+            kept = [f"case when y.seq is not null then y.{c} else o.{c} end as {c}" if c in table.updates else f"o.{c}" for c in columns]
+            ctes.append(f"t{k} as (select {', '.join(kept)} from {before} o left join last{k} y on {on('y')} union all select * from ({fresh}) o where not exists (select 1 from {before} y where {on('y')}))")
+        before = f"t{k}"
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        c = Catalog(s, scratch(s, "tables"))
+        for batch in batches:
+            c.upsert(name, query(s, d, batch), "seq")
+        return c.read(name)
+
+    QUERIES[f"upsert_{name}"], SQL[f"upsert_{name}"] = run, oracle(f"with {', '.join(ctes)} select * from {before}")
+
+
+for _n in TABLES:
+    upsert_case(_n)
+
+
 # Scalars
 
 
@@ -408,7 +464,7 @@ def section_word_counts(s, d):
 # Deals: at most one match per pattern and text in the fixture.
 
 
-def deal_case(k: int) -> None:
+def deal_sql(k: int, source: str, key: str) -> str:
     # RE2 has no lookahead, but the same backtracking order; the name's tail is cleaned after.
     pattern, kind = fixed.DEALS[k - 1]
     p = "(?i)" + pattern
@@ -417,13 +473,15 @@ def deal_case(k: int) -> None:
     price = f"coalesce({_amount(f"regexp_extract(text, '{p}', 2)", True)}, {_amount(context, True)})"
     low = f"lower({context})"
     kind_sql = f"case when contains({low}, 'cash') and (contains({low}, 'stock') or contains({low}, 'shares')) then 'Mixed (Cash & Stock)' when contains({low}, 'cash') then 'Cash' when contains({low}, 'stock') or contains({low}, 'shares') then 'Stock' else 'Unknown' end"
-    sql = f"select p_partkey, {target} as seller_target_name, '{kind}' as transaction_type, {price} as purchase_price_usd, {kind_sql} as consideration_type, {context} as context_summary from deal_text where regexp_matches(text, '{p}')"
+    return f"select {key}, {k} as pattern, (strpos(text, regexp_extract(text, '{p}', 0)) - 1)::int as start, {target} as seller_target_name, '{kind}' as transaction_type, {price} as purchase_price_usd, {kind_sql} as consideration_type, {context} as context_summary from {source} where regexp_matches(text, '{p}')"
+
 
+def deal_case(k: int) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = deal_rows(view(s, d, "deal_text").select("p_partkey", "text"))
-        return rows.where(F.col("pattern") == k).drop("pattern", "start")
+        return rows.where(F.col("pattern") == k)
 
-    QUERIES[f"transactions_p{k}"], SQL[f"transactions_p{k}"] = run, oracle(sql)
+    QUERIES[f"transactions_p{k}"], SQL[f"transactions_p{k}"] = run, oracle(deal_sql(k, "deal_text", "p_partkey"))
 
 
 for _k in range(1, 6):
@@ -451,8 +509,9 @@ def target_dedupe(s, d):
     return rows.groupBy("p_partkey").agg(F.first("seller_target_name").alias("seller_target_name"), F.count("*").cast("int").alias("n"))
 
 
-@case()
+@case(deal_sql(1, "filing_text", "accession_number"))
 def transactions_all(s, d):
+    """All patterns over filings, which hold one deal each."""
     texts = view(s, d, "filing_text").select("accession_number", "text")
     return deal_rows(texts)
 
@@ -531,7 +590,35 @@ def _landed(s, d) -> DataFrame:
 PASS = ["accession_number", "overall_grade", "overall_score", "sentiment_score", "transparency_score", "financial_score", "summary_notes"]
 
 
-@case()
+def _found(pattern: str, group: int = 0) -> str:
+    return f"nullif(trim(regexp_extract(text, '(?i){pattern}', {group}), E' \\n'), '')"
+
+
+# Filings hold the three sections that count, so the financial score is 100.
+_EVENT = f"nullif(trim(replace(regexp_extract(text, '(?is).{{0,50}}?(?:{fixed.EXECUTIVE}).{{0,250}}', 0), chr(10), ' ')), '')"
+_EPS = f"try_cast(regexp_replace(regexp_extract(text, '(?i){fixed.EPS}', 1), '\\.+$', '') as double)"
+_FILING_STATS = STATS.replace("doc_lexicon", "filing_text").replace("doc_id", "accession_number")
+GRADES = f"""with {_FILING_STATS}, scored as (
+  select s.*, f.text, net_sentiment_score as net, uncertainty_count as unc, litigious_count as lit, word_count as words, fog_index as fog from stats s join filing_text f on f.accession_number = s.accession_number
+), summed as (select *, {_round(f"0.40::double * {_SENT} + 0.30::double * {_TRANS} + 0.30::double * 100", 1)} as overall_score from scored)
+select accession_number, case {" ".join(f"when overall_score >= {a} then '{b}'" for a, b in fixed.LETTERS)} else '{fixed.FALLING_LETTER}' end as overall_grade, overall_score, {_round(_SENT, 1)} as sentiment_score, {_TRANS} as transparency_score, 100.0::double as financial_score,
+  concat_ws(' | ', 'Revenue Signal: ' || {_found(fixed.REVENUE)}, 'Net Income Signal: ' || {_found(fixed.NET_INCOME)}, 'Diluted EPS: $' || {_EPS}::varchar, 'Executive Event: ' || left({_EVENT}, 120) || '...',
+    case when net > 0.1 then '{fixed.TONES[0]}' when net < -0.05 then '{fixed.TONES[1]}' else '{fixed.TONES[2]}' end, case when fog > 20 then '{fixed.CLARITY[0]}' else '{fixed.CLARITY[1]}' end, case when lit::double / greatest(1, words) * 100 > 0.5 then '{fixed.LITIGIOUS_NOTE}' end) as summary_notes
+from summed"""
+
+
+@case(f"""with {_FILING_STATS}, said as (
+  select accession_number, {_found(fixed.REVENUE)} as revenue_text, {_amount(f"regexp_extract(text, '(?i){fixed.REVENUE}', 1)", False)} as revenue_usd, {_found(fixed.NET_INCOME)} as net_income_text, {_amount(f"regexp_extract(text, '(?i){fixed.NET_INCOME}', 1)", False)} as net_income_usd,
+    {_EPS} as eps_diluted, {_amount(f"regexp_extract(text, '(?i){fixed.CASH}', 1)", False)} as cash_and_equivalents_usd, {_EVENT} as executive_event_summary from filing_text
+) """ + " union all ".join(f"select accession_number, '{c}' as metric_name, {c}::double as metric_value, {c}::varchar as text_value from stats" for c in COUNTS + RATIOS)
+    + "".join(f" union all select accession_number, '{c}', null, {c} from said where {c} is not null" for c in ("revenue_text", "net_income_text", "executive_event_summary"))
+    + "".join(f" union all select accession_number, '{c}', {c}, coalesce({c}::varchar, 'None') from said where {there} is not null" for c, there in (("revenue_usd", "revenue_text"), ("net_income_usd", "net_income_text"), ("eps_diluted", "eps_diluted"), ("cash_and_equivalents_usd", "cash_and_equivalents_usd"))))
+def metrics_of_filings(s, d):
+    """All metrics, the financial ones among them, as rows."""
+    return metric_rows(with_financials(with_metrics(view(s, d, "filing_text"))), ["accession_number"])
+
+
+@case(GRADES)
 def grading_pass(s, d):
     return enrich(_landed(s, d)).select(*PASS)
 
@@ -547,18 +634,19 @@ def _stored(s, d, times: int) -> Catalog:
     return c
 
 
-@case()
+@case(GRADES)
 def grading_pass_idempotent(s, d):
     """Stored twice: each key once."""
     return _stored(s, d, 2).read("filing_grades").select(*PASS)
 
 
-@case()
+@case("select action, items_synced, status from (select 'run_grading_pass' as action, count(*)::int as items_synced, 'success' as status from filings), (select unnest([1, 2]))")
 def sync_journal(s, d):
+    """A line for each of two passes."""
     return _stored(s, d, 2).read("sync_log").select("action", "items_synced", "status")
 
 
-@case()
+@case(GRADES)
 def stream_grading_pass(s, d):
     """Landed files through the stream, until none is left."""
     from dossier.streaming.poll import grade_stream

@@ -1,18 +1,15 @@
 """EDGAR: ticker map, filing histories and raw documents, from files or over HTTP.
 
-Payloads are parsed by Spark either way. The HTTP reader is a Python data source;
-the request budget is divided among its partitions, so that all together stay
-below it.
+Payloads are parsed by Spark either way. Documents are fetched by the tasks of a plan;
+the request budget is divided among them, so that all together stay below it.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from dossier.functions.pylike import archive_path, filing_url, hash_id, pad_cik
 from dossier.operators.cleaning import decode_utf8
@@ -82,45 +79,6 @@ def fetch(url: str, agent: str, budget: Budget) -> bytes:
         return decompress(body) if answer.headers.get("Content-Encoding") == "gzip" else body
 
 
-class _Urls(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
-
-
-class HttpReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.agent = options.get("agent", "")
-        self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.parts = max(1, min(int(options.get("partitions", "1")), len(self.urls) or 1))
-        self.rate = float(options.get("rate", "5")) / self.parts
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Urls(self.urls[k :: self.parts]) for k in range(self.parts)]
-
-    def read(self, partition: _Urls) -> Iterator[tuple]:
-        budget = Budget(self.rate)
-        for url in partition.urls:
-            try:
-                body, error = fetch(url, self.agent, budget), None
-            except OSError as e:  # a failed document is reported and the rest go on
-                body, error = None, str(e)
-            yield url, body, error
-
-
-class HttpDocuments(DataSource):
-    """spark.read.format("http_documents"), options urls (one a line), agent, rate, partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "http_documents"
-
-    def schema(self) -> str:
-        return "url string, content binary, error string"
-
-    def reader(self, schema) -> HttpReader:
-        return HttpReader(self.options)
-
-
 def fetch_documents(pending: DataFrame, agent: str, rate: float, parts: int = 1) -> DataFrame:
     """pending (with `url`) and content, error; the budget is shared by `parts` tasks."""
     import pyarrow as pa
