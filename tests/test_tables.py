@@ -38,6 +38,60 @@ def test_fresh_tables(spark, tmp_path):
     assert c.upsert("companies", c.read("companies")) == 0
 
 
+def test_upserts_touch_few_buckets_and_keep_readers(spark, tmp_path):
+    """A small batch rewrites the buckets of its keys; journals only gain files, until they are written as one."""
+    from dossier import catalog as module
+
+    c = Catalog(spark, f"file://{tmp_path}/t", buckets=8)
+    grades = spark.range(200).selectExpr("cast(id as string) as accession_number", "'A' as overall_grade")
+    assert c.upsert("filing_grades", grades) == 200
+    before, reader = dict(map(tuple, c._manifest("filing_grades")["parts"])), c.read("filing_grades")
+    assert c.upsert("filing_grades", spark.createDataFrame([("7", "B"), ("7", "C"), ("new", "B")], "accession_number string, overall_grade string")) == 3
+    after = dict(map(tuple, c._manifest("filing_grades")["parts"]))
+    assert 0 < sum(before[b] != after[b] for b in before) <= 2
+    now = {r.accession_number: r.overall_grade for r in c.read("filing_grades").collect()}
+    assert len(now) == 201 and now["7"] == "C" and now["8"] == "A"  # without an order, the columns' order
+    assert reader.count() == 200
+    for k in range(module.MOST_FOLDERS + 3):
+        c.upsert("sync_log", spark.createDataFrame([("same" if k % 2 else f"id{k}", k)], "id string, items_synced int"))
+    log = {r.id: r.items_synced for r in c.read("sync_log").collect()}
+    assert log["same"] == 1 and len(log) == (module.MOST_FOLDERS + 3 + 1) // 2 + 1
+    parts = c._manifest("sync_log")["parts"]
+    assert all(sum(b == x for x, _ in parts) <= module.MOST_FOLDERS for b, _ in parts)
+    assert sorted(r.table_name for r in c.tables().collect()) == ["filing_grades", "sync_log"]
+
+
+def test_scratch(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from dossier import session
+
+    with session.recorded() as made:
+        rows = session.written(spark.range(5), "t")
+    path = made[0].removeprefix("file://")
+    assert rows.count() == 5 and os.path.isdir(path)
+    session.delete(spark, made)
+    assert not os.path.exists(path)
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Far)
+
+
+def test_repeated_stream_batches_have_one_line(spark, tmp_path):
+    from dossier.plans.grading_pass import journal
+
+    c = Catalog(spark, f"file://{tmp_path}/t")
+    for run in ("r1", "r1", "r2"):
+        journal(c, "run_grading_pass", 3, as_of(), run)
+    assert sorted(r.id for r in c.read("sync_log").collect()) == ["r1", "r2"]
+
+
 def test_sources(spark):
     payload = json.dumps({"0": {"cik_str": 320193, "ticker": "aapl", "title": "Apple"}, "1": {"ticker": "none"}, "2": {"cik_str": "320193", "ticker": "AAPL2", "title": "Apple again"}})
     parsed = tickers(spark.createDataFrame([(payload,)], "value string"))
