@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm.bpe import encoder, file_digest
 from dossier.llm.common import bounded_batches, slices
-from dossier.session import scratch
+from dossier.session import scratch, written
 
 CACHE = "tokenizer string, digest string, n_tokens long"
 
@@ -72,8 +72,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
             )
 
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
-    # One row a digest, though runs side by side may each have appended it.
-    counted = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # One row a digest, though runs side by side may each have appended it. As a table, since
+    # a join straight after an aggregate can't split the documents of a hot digest.
+    counted = written(read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     sized = digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(counted, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
