@@ -203,7 +203,7 @@ def _batch(name: str, keys: str, where: str) -> str:
 
 def upsert_case(name: str) -> None:
     table = TABLES[name]
-    columns, by = table.schema.fieldNames(), ", ".join(table.key)
+    columns, by = [f.split(" ")[0] for f in table.ddl.split(", ")], ", ".join(table.key)
     batches = [_batch(name, "seq", "seq % 3 = 0"), _batch(name, "(seq * 7 + 1)", "seq % 2 = 0")]
     on = lambda x: " and ".join(f"o.{k} = {x}.{k}" for k in table.key)
     ctes, before = [], None

@@ -132,6 +132,15 @@ def test_config(tmp_path, monkeypatch):
     assert Config.load(str(tmp_path / "x")).user_agent == "me me@site.org"
 
 
+def test_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 60 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
 def test_entry_without_llm(spark):
     import __spark_entry__ as e
 
