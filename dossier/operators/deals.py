@@ -47,6 +47,10 @@ def deal_matches(text: pa.Array) -> pa.Array:
     return pa.array([find_deals(x or "") for x in text.to_pylist()], DEAL_TYPE)
 
 
+# So that the filter that an explode implies isn't pushed below it, which would run it twice.
+deal_matches = deal_matches.asNondeterministic()
+
+
 def clean_target(name: Column) -> Column:
     """Without one trailing word that belongs to no name; null if nothing of a name is left."""
     short = F.regexp_replace(name, "(?iU)" + fixed.TRAILING_WORD, "")

@@ -38,6 +38,10 @@ def extract_sections(text: pa.Array) -> pa.Array:
     return pa.array([list(split_sections(x or "").items()) for x in text.to_pylist()], pa.map_(pa.string(), pa.string()))
 
 
+# So that the filter that an explode implies isn't pushed below it, which would run it twice.
+extract_sections = extract_sections.asNondeterministic()
+
+
 def section_words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != ""))
 
