@@ -4,13 +4,16 @@ A manifest names, for each bucket, the folders that hold its rows; the newest on
 counts, and it is written last, so a write that breaks off leaves the table as it was.
 An upsert rewrites only the buckets that its rows fall in, and one that never
 updates (conflicts keep the old row) only adds files. A bucket of too many
-folders is written anew as one.
+folders is written anew as one. Buckets are of bounded size on average: a table that
+outgrows them is dealt to twice as many or more, so each row is dealt anew a
+few times at most, however large the table gets.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +26,13 @@ from dossier.session import delete, recorded, written
 KEPT_VERSIONS = 2
 #: Folders of a bucket before they are written as one.
 MOST_FOLDERS = 16
+#: Bytes of a bucket, as stored: one task writes it.
+BUCKET_BYTES = 128 << 20
 
 
 class Catalog:
-    """Any folder that Spark can write. One writer at a time per table. buckets: of tables
-    that are written for the first time; more for larger ones."""
+    """Any folder that Spark can write. One writer at a time per table. buckets: of small tables;
+    larger ones get more, by BUCKET_BYTES."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 4):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -44,10 +49,10 @@ class Catalog:
         return sorted(int(x[1:-5]) for x in self._names(f"{self.root}/{name}") if x.startswith("m") and x.endswith(".json"))
 
     def _manifest(self, name: str, version: int = 0) -> dict:
-        """buckets: their number; parts: [bucket, folder] of all that has rows."""
+        """buckets: their number; parts: [bucket, folder] of all that has rows; bytes: by folder and bucket."""
         version = version or max(self.versions(name), default=0)
         if not version:
-            return {"buckets": self.buckets, "parts": []}
+            return {"buckets": self.buckets, "parts": [], "bytes": {}}
         fs, at = self._files(f"{self.root}/{name}/m{version}.json")
         stream = fs.open(at)
         try:
@@ -55,7 +60,10 @@ class Catalog:
         finally:
             stream.close()
 
-    def _commit(self, name: str, manifest: dict) -> None:
+    def _commit(self, name: str, buckets: int, parts: list[list]) -> dict:
+        known = self._manifest(name).get("bytes", {})
+        sizes = {folder: known.get(folder) or self._bytes(f"{self.root}/{name}/{folder}") for folder in {f for _, f in parts}}
+        manifest = {"buckets": buckets, "parts": parts, "bytes": sizes}
         version = max(self.versions(name), default=0) + 1
         fs, part = self._files(f"{self.root}/{name}/.m{version}-{uuid.uuid4().hex[:8]}")
         stream = fs.create(part, False)
@@ -69,10 +77,26 @@ class Catalog:
             fs.delete(self._files(f"{self.root}/{name}/m{old}.json")[1], False)
         kept = {folder for v in versions[-KEPT_VERSIONS:] for _, folder in self._manifest(name, v)["parts"]}
         delete(self.spark, [f"{self.root}/{name}/{x}" for x in self._names(f"{self.root}/{name}") if x.startswith("d") and x not in kept])
+        return manifest
 
     def _bucket(self, name: str, buckets: int):
         return F.pmod(F.xxhash64(*[F.col(k) for k in TABLES[name].key]), F.lit(buckets)).cast("int")
 
+    def _bytes(self, path: str) -> dict[str, int]:
+        """What is stored under path, by the folder that directly holds it: one listing."""
+        fs, at = self._files(path)
+        files, held = fs.listFiles(at, True), Counter()
+        while files.hasNext():
+            file = files.next()
+            held[file.getPath().getParent().getName()] += file.getLen()
+        return held
+
+    def _fitting(self, size: int, buckets: int) -> int:
+        """Buckets, doubled until `size` bytes fit."""
+        while size > buckets * BUCKET_BYTES:
+            buckets *= 2
+        return buckets
+
     def _put(self, name: str, df: DataFrame, buckets: int) -> list[list]:
         """Writes df to a folder of its own, a file per bucket; the parts that it has."""
         folder = f"d{uuid.uuid4().hex[:12]}"
@@ -92,8 +116,11 @@ class Catalog:
 
     def write(self, name: str, df: DataFrame) -> None:
         """The whole table anew."""
-        n = self._manifest(name)["buckets"]
-        self._commit(name, {"buckets": n, "parts": self._put(name, df, n)})
+        with recorded() as made:
+            source = written(df.select(*TABLES[name].schema.fieldNames()), "table")  # its size is known
+            n = self._fitting(sum(self._bytes(made[-1]).values()), self._manifest(name)["buckets"])
+            self._commit(name, n, self._put(name, source, n))
+        delete(self.spark, made)
 
     def tables(self) -> DataFrame:
         """table_name of the tables that were written."""
@@ -103,7 +130,7 @@ class Catalog:
         """Creates what is missing; running it again changes nothing but empty forms (back-filled)."""
         for name in TABLES:
             if not self.versions(name):
-                self.write(name, self.read(name))
+                self._commit(name, self.buckets, [])
         empty = self.read("filing_documents").where("form is null or form = ''")
         if not empty.isEmpty():
             self.upsert("filing_documents", backfill_forms(empty, self.read("filings")))
@@ -111,11 +138,13 @@ class Catalog:
     def upsert(self, name: str, rows: DataFrame, seq: str | None = None) -> int:
         """Returns the rows attempted, as the counts of the journal are."""
         table, manifest = TABLES[name], self._manifest(name)
-        schema, n = table.schema, manifest["buckets"]
+        schema = table.schema
         given = [F.col(c).cast(schema[c].dataType).alias(c) if c in schema.fieldNames() else F.col(c) for c in rows.columns if c in schema.fieldNames() or c == seq]
         absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name not in rows.columns]
         with recorded() as made:
             source = written(rows.select(*given, *absent), "upsert")  # its plan runs once
+            manifest = self._grown(name, manifest, sum(self._bytes(made[-1]).values()))
+            n = manifest["buckets"]
             touched = dict(source.groupBy(self._bucket(name, n)).count().collect())  # n rows at most
             if touched:
                 there = [p for p in manifest["parts"] if p[0] in touched]
@@ -126,12 +155,19 @@ class Catalog:
                     known = self._parts(name, there).select(*[F.col(k).alias(f"__{k}") for k in table.key])
                     new = first_rows(source, schema.fieldNames(), table.key, seq).join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in table.key], "left_anti")
                     parts = manifest["parts"] + self._put(name, new, n)
-                self._commit(name, {"buckets": n, "parts": self._compact(name, parts, n)})
+                self._commit(name, n, self._compact(name, parts, n))
         delete(self.spark, made)
         return sum(touched.values())
 
+    def _grown(self, name: str, manifest: dict, coming: int) -> dict:
+        """The manifest, of a table that has buckets for `coming` more bytes."""
+        n = self._fitting(sum(manifest.get("bytes", {}).get(folder, {}).get(f"__b={b}", 0) for b, folder in manifest["parts"]) + coming, manifest["buckets"])
+        if n == manifest["buckets"]:
+            return manifest
+        return self._commit(name, n, self._put(name, self._parts(name, manifest["parts"]), n) if manifest["parts"] else [])
+
     def _compact(self, name: str, parts: list[list], buckets: int) -> list[list]:
-        many = {b for b, _ in parts if sum(x == b for x, _ in parts) > MOST_FOLDERS}
+        many = {b for b, folders in Counter(p[0] for p in parts).items() if folders > MOST_FOLDERS}
         if not many:
             return parts
         return [p for p in parts if p[0] not in many] + self._put(name, self._parts(name, [p for p in parts if p[0] in many]), buckets)

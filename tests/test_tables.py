@@ -92,6 +92,26 @@ def test_repeated_stream_batches_have_one_line(spark, tmp_path):
     assert sorted(r.id for r in c.read("sync_log").collect()) == ["r1", "r2"]
 
 
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from dossier import catalog
+    from dossier.plans.grading_pass import journal
+
+    monkeypatch.setattr(catalog, "BUCKET_BYTES", 4000)
+    c = Catalog(spark, f"file://{tmp_path}/t", buckets=1)
+    sizes = []
+    for run in range(5):
+        journal(c, "run_grading_pass", run, as_of(), f"r{run}")
+        sizes.append(c._manifest("sync_log")["buckets"])
+    assert sizes == sorted(sizes) and sizes[0] < sizes[-1] <= 16
+    journal(c, "run_grading_pass", 9, as_of(), "r0")  # still meets its old row
+    assert sorted((r.id, r.items_synced) for r in c.read("sync_log").collect())[1:] == [(f"r{k}", k) for k in range(1, 5)]
+    assert c.read("sync_log").count() == 5
+    c.write("sync_log", c.read("sync_log"))
+    assert c.read("sync_log").count() == 5 and c._manifest("sync_log")["buckets"] >= sizes[-1]
+    c.init()
+    assert c.read("companies").count() == 0 and c.tables().count() == 8
+
+
 def test_sources(spark):
     payload = json.dumps({"0": {"cik_str": 320193, "ticker": "aapl", "title": "Apple"}, "1": {"ticker": "none"}, "2": {"cik_str": "320193", "ticker": "AAPL2", "title": "Apple again"}})
     parsed = tickers(spark.createDataFrame([(payload,)], "value string"))
