@@ -1,5 +1,9 @@
 """Connected components of a link table, as DataFrame operations: stars are
-contracted in turn to smaller and to larger neighbours until nothing changes."""
+contracted in turn to smaller and to larger neighbours until nothing changes.
+
+Each node's smallest neighbour is written as a table before the links meet it: Spark splits
+the links of a hot node (the root of a large component) only in a join of two
+plain shuffles, and not in one that follows an aggregate."""
 
 from __future__ import annotations
 
@@ -12,13 +16,13 @@ from dossier.session import written
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node (a, all its neighbours b being smaller) and those move to the smallest."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -29,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:
-        now = written(_small_star(_large_star(now)), "links")
+        now = written(_small_star(written(_large_star(now), "links")), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

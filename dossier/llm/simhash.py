@@ -257,8 +257,9 @@ def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of all that it reaches)."""
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = rooted(nodes, distance)
-    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = written(rooted(nodes, distance), "rooted")
+    # As a table, so that the nodes of a large component can be split in the join.
+    least = written(found.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     return fps.join(found.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
 
 
