@@ -42,6 +42,12 @@ def test_cleaning_edges(spark):
     assert raw.select(decode_utf8("b")).first()[0] == "café !"
 
 
+def test_unfinished_references_are_text():
+    from dossier.operators.cleaning import clean
+
+    assert clean("<div>a&amp</div>b&ampc &copy 1 &notit; &amp;lt; &lt;&#233;&#xe9 &a & &") == "a&amp\nb&ampc &copy 1 &notit; &lt; <éé &a & &"
+
+
 def test_cleaning_of_valid_and_broken_markup(spark):
     from dossier.operators.cleaning import clean
 
