@@ -230,3 +230,17 @@ def test_counts_are_of_rows_where_cut_order_numbers_repeat(spark, tmp_path):
     spark.range(2, 6).selectExpr(*orders.split(", ")).write.parquet(f"{tmp_path}/orders.parquet")
     counts = dict(map(tuple, QUERIES["table_counts"](spark, str(tmp_path)).collect()))
     assert counts["companies"] == 2 and counts["filings"] == counts["filing_transactions"] == 4 and counts["filing_documents"] == 2
+
+
+def test_upserts_in_many_shares(spark, tmp_path, monkeypatch):
+    """Each key is merged in one share of its bucket, and sorted by its hash."""
+    from dossier import catalog
+
+    monkeypatch.setattr(catalog, "TASK_BYTES", 500)
+    c = Catalog(spark, f"file://{tmp_path}/t")
+    for k in range(2):
+        rows = spark.range(k * 1000, 3000).selectExpr("cast(id as string) as accession_number", "'m' as metric_name", f"cast(id + {k} as double) as metric_value", "'x' as clean_text", "'s' as section_name")
+        assert c.upsert("filing_metrics", rows) == c.upsert("filing_sections", rows) == 3000 - k * 1000
+    now = {r.accession_number: r.metric_value for r in c.read("filing_metrics").collect()}
+    assert now == {str(k): float(k + (k >= 1000)) for k in range(3000)}
+    assert c.read("filing_metrics").count() == c.read("filing_sections").count() == 3000
