@@ -244,3 +244,29 @@ def test_upserts_in_many_shares(spark, tmp_path, monkeypatch):
     now = {r.accession_number: r.metric_value for r in c.read("filing_metrics").collect()}
     assert now == {str(k): float(k + (k >= 1000)) for k in range(3000)}
     assert c.read("filing_metrics").count() == c.read("filing_sections").count() == 3000
+
+
+def test_ids_are_made_where_new_rows_are_written(spark, tmp_path, monkeypatch):
+    """They follow from the key, so they don't move with the rows; old rows keep theirs."""
+    from dossier import catalog
+    from dossier.functions.pylike import hash_id
+    from dossier.plans.grading_pass import enriched, store
+
+    moved, plain = {}, Catalog._typed
+    monkeypatch.setattr(catalog.Catalog, "_typed", lambda self, name, rows, seq=None: moved.setdefault(name, plain(self, name, rows, seq)))
+    c = Catalog(spark, f"file://{tmp_path}/t")
+    text = "Item 1. Business\nWe sell goods to many people.\nWe acquired Alpha Corp for $ 5 million in cash."
+    raw = spark.createDataFrame([("a", "1", "T1", "10-K", "m", text)], "accession_number string, cik string, ticker string, form string, document_name string, raw string")
+    store(c, enriched(raw), as_of())
+    keys = {"filing_sections": ("section", "section_name"), "filing_metrics": ("metric", "metric_name"), "filing_transactions": ("transaction", "seller_target_name"), "filing_grades": ("grade", None)}
+    for name, (kind, key) in keys.items():
+        expected = hash_id(kind, F.col("accession_number"), *([F.col(key)] if key else []))
+        got = c.read(name).select(F.col(f"{kind}_id").alias("id"), expected.alias("expected"), "filing_id", hash_id("filing", F.col("accession_number")).alias("filing")).collect()
+        assert got and all(r.id == r.expected and r.filing_id == r.filing for r in got)
+        assert moved[name].where(f"{kind}_id is not null or filing_id is not null").count() == 0
+    monkeypatch.setattr(catalog.Catalog, "_typed", plain)
+    old = spark.createDataFrame([("b", "m", "kept", 1.0)], "accession_number string, metric_name string, metric_id string, metric_value double")
+    c.upsert("filing_metrics", old)
+    new = spark.createDataFrame([("b", "m", 2.0), ("c", "m", 3.0)], "accession_number string, metric_name string, metric_value double")
+    c.upsert("filing_metrics", new, ids={"metric_id": F.concat(F.lit("of "), "accession_number")})
+    assert rows(c.read("filing_metrics").where("metric_name = 'm'").select("accession_number", "metric_id", "metric_value")) == [("b", "kept", 2.0), ("c", "of c", 3.0)]

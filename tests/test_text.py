@@ -198,3 +198,58 @@ def test_one_trip_to_python(spark):
 
 def test_write_off_never_counts(spark):
     assert with_metrics(texts(spark, "write-off write-off")).first().negative_count == 0
+
+
+def test_a_pattern_is_tried_only_where_it_may_start():
+    """With the matches of a search of the whole text."""
+    import random
+
+    from dossier.functions import money
+    from dossier.functions.search import lowered
+    from dossier.operators import deals, sections
+
+    finders = [*sections._patterns.values(), *deals._deals, *money._items.values()]
+    pieces = (
+        "Item 1. Business|ITEM 1 business|item 1. description of business|Item 1A: Risk Factors|item 7 Management's Discussion and Analysis|Item 8. Financial Statements|Part I |part ii |item 2. managements discussion|Item 2.02 Results of Operations|"
+        "acquired |purchase |purchased |Alpha Corp |for $ 5 million|at $3.|entered into a definitive agreement with |completed the acquisition of |buying new chips from |vendor agreement with |master supply agreement with |totaling $7|"
+        "Total net revenues |net |net sales |revenue was |of $ 1,2 billion|net loss |diluted eps |diluted loss per share $ 1.5.|cash and |cash and cash equivalents |departure of directors|appointment of|appointed Mr. John Doe|retired from the board|\n| |é|K|ſ"
+    ).split("|")
+    tried, found, r = [], 0, random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(12)))
+        for f in finders:
+            spans = [m.span() for m in f.every(text, lowered(text))]
+            assert spans == [m.span() for m in f.pattern.finditer(text)]
+            assert (m := f.first(text, lowered(text))) is None and not spans or m.span() == spans[0]
+            found += len(spans)
+    assert found > 1000
+
+    class Counted:
+        def match(self, text, at):
+            tried.append(at)
+
+    f = deals._deals[0]
+    plain, f.pattern = f.pattern, Counted()
+    try:
+        text = "no words of it. " * 100 + "They acquired nothing."
+        assert list(f.every(text, lowered(text))) == [] and tried == [text.index("acquired")]
+    finally:
+        f.pattern = plain
+
+
+def test_syllables_of_all_words_at_once(spark):
+    from dossier.functions.textstats import syllable_counts, words
+
+    df = texts(spark, "", "a be the", "Yyed yyyy eeed makes jumped rhythm ally yellow yes seed trees beautiful", "x1 é_y 𝐚abcd abcd𝐚 😀growth well-beings cafés İstanbul made")
+    df = df.withColumn("w", words(F.col("text"))).withColumn("n", syllable_counts(F.col("w")))
+    assert column(df, "w")[3] == ["growth", "well", "beings", "i", "stanbul", "made"]  # a dot above is no letter
+    long = F.filter("w", lambda w: F.length(w) > 3)
+    for r in df.withColumn("one", F.transform(long, syllables)).collect():
+        assert r.n == (r.one or [1])
+
+
+def test_sentences_have_more_than_five_characters_between_white_space(spark):
+    from dossier.functions.textstats import sentence_count
+
+    df = texts(spark, None, "", "   .  ", "a    b. abcde.  \x1cabcdef ! \U0001d41abcdef? 12345\n", "ab\ncdef.  abcde ")
+    assert column(df.withColumn("n", sentence_count(F.col("text"))), "n") == [0, 0, 1, 3, 1]
