@@ -288,3 +288,41 @@ def test_passes_where_cut_order_numbers_repeat(spark, tmp_path):
         got = rows(QUERIES[name](spark, str(tmp_path)))
         assert len(got) == n and got == sorted(con.sql(SQL[name]).fetchall())
         assert name != "sync_journal" or {r[1] for r in got} == {3}
+
+
+def test_upserts_move_some_buckets_at_a_time_and_keep_unchanged_ones(spark, tmp_path, monkeypatch):
+    """Rows of a filing lie together; a repeated upsert writes nothing, one new value the bucket of its filing."""
+    from dossier import catalog
+
+    saves, save = [], Catalog._save
+    monkeypatch.setattr(Catalog, "_save", lambda self, name, df: saves.append(name) or save(self, name, df))
+    monkeypatch.setattr(catalog, "MOVED_BYTES", 1)
+    c = Catalog(spark, f"file://{tmp_path}/t", buckets=4)
+    metrics = spark.range(600).selectExpr("cast(id div 6 as string) as accession_number", "concat('m', id % 6) as metric_name", "if(id % 7 = 0, null, cast(id as double)) as metric_value")
+    assert c.upsert("filing_metrics", metrics) == 600 and len(saves) == 4  # a bucket each
+    before = c._manifest("filing_metrics")["parts"]
+    parts = [(b, c._parts("filing_metrics", [[b, f]]).select("accession_number").distinct().collect()) for b, f in before]
+    assert sum(len(x) for _, x in parts) == 100  # each filing in one bucket
+    assert c.upsert("filing_metrics", metrics) == 600 and c._manifest("filing_metrics")["parts"] == before
+    assert sum(n.startswith("d") for n in c._names(f"{c.root}/filing_metrics")) >= 4 and c.read("filing_metrics").count() == 600
+    c.upsert("filing_metrics", metrics.where("accession_number = '3'").withColumn("metric_value", F.when(F.col("metric_name") == "m2", None).otherwise(F.col("metric_value"))))
+    after = c._manifest("filing_metrics")["parts"]
+    assert len([p for p in after if p not in before]) == 1 and len(after) == len(before)
+    got = {(r.accession_number, r.metric_name): r.metric_value for r in c.read("filing_metrics").collect()}
+    assert got == {(str(k // 6), f"m{k % 6}"): None if k % 7 == 0 or k == 20 else float(k) for k in range(600)}
+
+
+def test_tables_of_the_old_layout_are_dealt_anew(spark, tmp_path, monkeypatch):
+    from dossier import catalog
+
+    c = Catalog(spark, f"file://{tmp_path}/t", buckets=4)
+    metrics = spark.range(60).selectExpr("cast(id div 6 as string) as accession_number", "concat('m', id % 6) as metric_name", "cast(id as double) as metric_value")
+    with monkeypatch.context() as m:
+        m.setattr(catalog, "LAYOUT", "whole key")
+        m.setattr(Catalog, "_bucket", lambda self, name, n: F.pmod(F.xxhash64(*TABLES[name].key), F.lit(n)).cast("int"))
+        c.upsert("filing_metrics", metrics)
+    monkeypatch.setattr(catalog, "BUCKET_BYTES", 1000)  # and the table grows after
+    for _ in range(2):
+        c.upsert("filing_metrics", metrics.withColumn("metric_value", F.lit(1.0)))
+    assert rows(c.read("filing_metrics").select("accession_number", "metric_name", "metric_value")) == sorted((str(k // 6), f"m{k % 6}", 1.0) for k in range(60))
+    assert c._manifest("filing_metrics")["buckets"] > 4
